@@ -50,10 +50,13 @@ def pearson(a: Column | str, b: Column | str) -> Column:
 
     The built-in ``corr`` divides by zero on a constant column under ANSI mode.
     """
-    a, b = as_double(a), as_double(b)
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return pearson_of(as_double(a), as_double(b))
+
+
+def pearson_of(a: Column, b: Column) -> Column:
+    """Same, for double columns without NaN."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
 
 
 def sample_skewness(c: Column | str) -> Column:
