@@ -27,6 +27,9 @@ POSITIVE_WORDS = ("yes", "1", "true", "churn", "positive", "cancelled", "risk",
 ID_PARTS = ("id", "uuid", "code", "postal", "zip", "index", "unnamed", "row")
 
 
+CLASS_BROADCAST = 10_000
+
+
 def is_id_like(name: str, parts: tuple[str, ...] = ID_PARTS) -> bool:
     return any(p in name.lower() for p in parts)
 
@@ -186,6 +189,8 @@ def stratified_split(df: DataFrame, label: str, key: list[str], test_share: floa
     hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
     indexed = row_index(hashed, [label, "_h", *key], "_row")
     sizes = indexed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    if sizes.limit(CLASS_BROADCAST + 1).count() <= CLASS_BROADCAST:
+        sizes = F.broadcast(sizes)
     cut = F.ceil(F.col("_n") * F.lit(test_share))
     joined = indexed.join(sizes, label)
     return joined.withColumn("is_test", F.col("_row") - F.col("_first") < cut).select(*df.columns, "is_test")

@@ -89,21 +89,33 @@ def column_facts(df: DataFrame) -> DataFrame:
 
 
 def _value_facts(df: DataFrame, exact: bool) -> DataFrame:
-    """``column_name, distinct_count, sample_values``; samples are the first distinct values in order."""
+    """``column_name, distinct_count, sample_values``.
+
+    Exact: distinct values are grouped and counted, samples are the first in order. Otherwise mergeable
+    sketches of fixed size in one pass: nothing but the sketches is shuffled, samples are frequent values.
+    """
     clean = df.select(
         *[F.when(~is_missing(f.name, f.dataType), F.col(f.name)).alias(f.name) for f in df.schema]
     )
+    if not exact:
+        texts = clean.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+        frequent = lambda c: F.expr(f"transform(approx_top_k(`{c}`, {SAMPLES}), x -> x.item)")
+        row = texts.agg(*[x for i, c in enumerate(df.columns) for x in (F.approx_count_distinct(c).alias(f"d{i}"), frequent(c).alias(f"t{i}"))])
+        structs = [
+            F.struct(
+                F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_count"),
+                F.array_sort(F.filter(f"t{i}", lambda v: v.isNotNull())).alias("sample_values"),
+            )
+            for i, c in enumerate(df.columns)
+        ]
+        return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
     values = value_counts_by_column(clean, df.columns)
     samples = (
         ranked_within(values, ["column"], [F.col("value")], SAMPLES)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
     )
-    if exact:
-        counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    else:
-        row = clean.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns])
-        counts = row.unpivot([], df.columns, "column", "distinct_count")
+    counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
     return counts.join(samples, "column", "left").withColumnRenamed("column", "column_name")
 
 

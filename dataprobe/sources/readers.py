@@ -13,7 +13,8 @@ from pyspark.errors import AnalysisException
 FORMATS = ("csv", "json", "parquet")
 SEPARATORS = (",", ";", "\t")
 _RAW = "_raw_line"
-_QUOTED = r'"(?:[^"]|"")*"'
+# possessive, so that a long quoted field does not nest
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
 
 class UnsupportedFormat(ValueError):
