@@ -7,35 +7,27 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.functions.numeric import as_double, half_even, pearson_of, sample_std
+from dataprobe.functions.numeric import as_double, half_even, sample_std
 from dataprobe.operators.aggregates import value_counts_by_column
 from dataprobe.operators.models import is_id_like
 from dataprobe.operators.ordering import ranked_within
 from dataprobe.operators.quantiles import quantile_row
 from dataprobe.operators.shape import columns_of
 
-PAIRS_PER_PASS = 120
-
 
 def summary(df: DataFrame, columns: list[str] | None = None, digits: int = 2, **kw) -> DataFrame:
     """``column, count, mean, std, min, q25, median, q75, max`` per numeric column."""
     columns = columns or columns_of(df, "numeric")
-    aggs = []
-    for i, c in enumerate(columns):
-        v = as_double(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), sample_std(c).alias(f"s{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    q = quantile_row(df, columns, [0.25, 0.5, 0.75], **kw)
-    row = df.agg(*aggs).crossJoin(F.broadcast(q.select(*[F.col(c).alias(f"q{i}") for i, c in enumerate(columns)])))
+    values = df.select(*[as_double(c).alias(c) for c in columns]).unpivot([], columns, "column", "v")
+    facts = values.filter(F.col("v").isNotNull()).groupBy("column").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), sample_std("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    q = quantile_row(df, columns, [0.25, 0.5, 0.75], **kw).unpivot([], columns, "column", "q")
     r = lambda c: half_even(c, digits)
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), r(F.col(f"a{i}")).alias("mean"), r(F.col(f"s{i}")).alias("std"),
-            r(F.col(f"lo{i}")).alias("min"), r(F.col(f"q{i}")[0]).alias("q25"), r(F.col(f"q{i}")[1]).alias("median"),
-            r(F.col(f"q{i}")[2]).alias("q75"), r(F.col(f"hi{i}")).alias("max"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*").filter("count > 0")
+    return facts.join(F.broadcast(q), "column").select(
+        "column", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min"),
+        r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"), r(F.col("max")).alias("max"),
+    )
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
@@ -67,21 +59,22 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``i, j, x, y, r`` for every unordered pair of numeric columns, itself included."""
+    """``i, j, x, y, r`` for every unordered pair of numeric columns, itself included.
+
+    Each row is spread over its pairs and aggregated per pair inside its task, so only one record per pair
+    and task is shuffled. One aggregate per pair side by side would outgrow what the JVM compiles.
+    """
     columns = columns or columns_of(df, "numeric")
-    df = df.select(*[as_double(c).alias(c) for c in columns])
+    names = F.lit(columns)
+    values = df.select(*[as_double(c).alias(c) for c in columns])
     pairs = [(i, i) for i in range(len(columns))] + list(combinations(range(len(columns)), 2))
-    out = None
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at : at + PAIRS_PER_PASS]
-        row = df.agg(*[pearson_of(F.col(columns[i]), F.col(columns[j])).alias(f"r{i}_{j}") for i, j in part])
-        structs = [
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.col(f"r{i}_{j}").alias("r"))
-            for i, j in part
-        ]
-        rows = row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out.filter(F.col("r").isNotNull())
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(columns[i]).alias("a"), F.col(columns[j]).alias("b")) for i, j in pairs
+    ]
+    long = values.select(F.explode(F.array(*cells)).alias("s")).select("s.*").filter("a IS NOT NULL AND b IS NOT NULL")
+    r = F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))
+    out = long.groupBy("i", "j").agg(r.alias("r")).filter(F.col("r").isNotNull())
+    return out.select("i", "j", F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), "r")
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None, digits: int = 2) -> DataFrame:

@@ -20,7 +20,7 @@ from dataprobe.operators.aggregates import value_counts_by_column
 from dataprobe.operators.ordering import ranked_within, row_index
 from dataprobe.operators.quantiles import median_row, quantile_row
 from dataprobe.operators.shape import columns_of
-from dataprobe.scratch import materialise
+from dataprobe.scratch import materialise, spread
 
 # fixed values: words that mark the positive class, and name parts that mark an identifier
 POSITIVE_WORDS = ("yes", "1", "true", "churn", "positive", "cancelled", "risk", "high", "loss", "left")
@@ -243,7 +243,7 @@ def risk_model(
     rows = materialise(stratified_split(frame, "label", key, test_share, seed), "risk")
     if not has_variation(rows):
         raise ValueError("target has too little variation")
-    vec = assemble(rows, used)
+    vec = assemble(spread(rows), used)
     rf = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
         maxBins=_max_bins(), seed=seed,
@@ -290,7 +290,7 @@ def target_drivers(
         y = F.coalesce(as_double(target), F.lit(0.0))
     keep = [y.alias("label"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")]
     frame, used = feature_frame(rows, features, keep)
-    vec = assemble(materialise(frame, "drivers"), used)
+    vec = assemble(spread(materialise(frame, "drivers")), used)
     maker = RandomForestClassifier if classify else RandomForestRegressor
     rf = maker(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=_max_bins())
     full = rf.fit(vec)

@@ -74,7 +74,10 @@ def score_expr() -> Column:
 
 
 def quality_report(df: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """One row: score, counts, constant columns, invalid values."""
+    """One row: score, counts, constant columns, invalid values.
+
+    Reads ``df`` several times; give it a written table when it is expensive to compute.
+    """
     profiles = profiles if profiles is not None else materialise(profile(df), "profile")
     numeric = [r["column_name"] for r in profiles.filter("is_numeric").select("column_name").collect()]
     names = F.array_sort(F.collect_list("column_name"))
@@ -83,8 +86,9 @@ def quality_report(df: DataFrame, profiles: DataFrame | None = None) -> DataFram
     )
     const = constant_columns(profiles).agg(names.alias("constant_columns"))
     dup = duplicate_count(df).select("duplicate_rows")
+    rows = profiles.agg(F.max("rows")).first()[0] or 0
     if numeric:
-        out = outlier_counts(df, numeric).agg(F.sum("outliers").alias("outliers"))
+        out = outlier_counts(df, numeric, rows=rows).agg(F.sum("outliers").alias("outliers"))
     else:
         out = base.select(F.lit(0).cast("long").alias("outliers"))
     bad = invalid_negatives(df, numeric).filter("negatives > 0").agg(

@@ -12,6 +12,7 @@ from dataprobe.operators.models import is_id_like
 from dataprobe.operators.ordering import ranked_within
 from dataprobe.operators.profile import column_facts, profile, two_decimals
 from dataprobe.operators.shape import TEMPORAL, columns_of
+from dataprobe.scratch import materialise
 
 # fixed values: keywords of each kind of chunk
 OVERVIEW_WORDS = ["overview", "size", "rows", "columns", "dataset", "total", "count", "summary"]
@@ -31,13 +32,16 @@ def _chunk(place: Column, id_: Column, keywords: Column, text: Column) -> list[C
 
 
 def knowledge_chunks(df: DataFrame, domain: str = "generic") -> DataFrame:
-    """``place, chunk_id, keywords, text``: one row per column plus overview, correlations and domain."""
-    spark = df.sparkSession
+    """``place, chunk_id, keywords, text``: one row per column plus overview, correlations and domain.
+
+    The table is written once, since every kind of chunk reads it.
+    """
+    df = materialise(df, "known")
     numeric = columns_of(df, "numeric")
     dates = [f.name for f in df.schema if isinstance(f.dataType, TEMPORAL) or (f.name not in numeric and any(p in f.name.lower() for p in DATE_PARTS))]
     texts = [c for c in df.columns if c not in numeric and c not in dates]
     spaced = lambda c: F.lower(F.translate(c, "_", " "))
-    facts = profile(df).select("column_name", "position", "rows", "distinct_count", "missing_count")
+    facts = materialise(profile(df), "known-profile").select("column_name", "position", "rows", "distinct_count", "missing_count")
     null_pct = F.format_string("%.1f", half_even(ratio(F.col("missing_count"), F.greatest(F.col("rows"), F.lit(1))) * 100, 1))
     n = len(df.columns)
     parts: list[DataFrame] = []

@@ -17,7 +17,7 @@ from dataprobe.operators import metrics, models
 from dataprobe.operators.aggregates import value_counts_by_column
 from dataprobe.operators.ordering import row_index
 from dataprobe.operators.shape import columns_of, high_low_bins, tag_period
-from dataprobe.scratch import materialise
+from dataprobe.scratch import materialise, spread
 
 ID_PARTS = ("id", "uuid", "code")
 FEATURE_ID_PARTS = ("id", "uuid", "code", "name", "unnamed")
@@ -173,7 +173,7 @@ def regression_drivers(df: DataFrame, metric: str, *, trees: int = 50, depth: in
     frame, used = models.feature_frame(df, features, [y.alias("label")], max_levels=30)
     if not used:
         frame, used = _record_index(df, y)
-    vec = models.assemble(materialise(frame, "rootcause"), used)
+    vec = models.assemble(spread(materialise(frame, "rootcause")), used)
     rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     fit = models.Fitted(rf.fit(vec), used, vec)
     numeric = [c for c in used if c in columns_of(df, "numeric")]
@@ -250,7 +250,7 @@ def classifier(
     )
     if not used:
         frame, used = _record_index(rows, models.code_expr(target, levels).cast("double"))
-    vec = models.assemble(materialise(frame, "classifier"), used)
+    vec = models.assemble(spread(materialise(frame, "classifier")), used)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     model = rf.fit(vec)
     scored = model.transform(vec).select("label", "prediction")

@@ -48,7 +48,7 @@ def daily_orders(spark, sf_dir):
 @query(
     "daily_rollup",
     f"""WITH {DAILY_ORDERS}
-        SELECT strftime(date, '%Y-%m-%d') AS date, round_even(v, 2) AS sum_val, round(v / n, 6) AS mean_val, n AS count
+        SELECT strftime(date, '%Y-%m-%d') AS date, round_even(v, 2) AS sum_val, round(v / n, 8) AS mean_val, n AS count
         FROM daily""",
 )
 def daily_rollup(spark, sf_dir):
@@ -56,7 +56,7 @@ def daily_rollup(spark, sf_dir):
     return d.select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         half_even(F.col("sum_val"), 2).alias("sum_val"),
-        F.round(F.col("sum_val") / F.col("count"), 6).alias("mean_val"),
+        F.round(F.col("sum_val") / F.col("count"), 8).alias("mean_val"),
         "count",
     )
 

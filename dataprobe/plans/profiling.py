@@ -8,6 +8,7 @@ from dataprobe.operators import clean, eda, quality
 from dataprobe.operators.profile import profile, target_ranking
 from dataprobe.plans.inputs import EVENTS_DIRTY, SALES, events_dirty, sales
 from dataprobe.plans.registry import query, table
+from dataprobe.scratch import materialise
 
 COLUMNS = ["event_id", "ts", "user_id", "event_type", "channel", "value", "source", "is_error"]
 TYPES = {
@@ -164,7 +165,7 @@ DIRTY_REPORT = DIRTY_FACTS + ", " + report_sql("dirty", TYPES, NUMERIC)
 
 @query("quality_score", f"WITH {DIRTY_REPORT} SELECT quality_score FROM report")
 def quality_score(spark, sf_dir):
-    return quality.quality_report(events_dirty(spark, sf_dir)).select("quality_score")
+    return quality.quality_report(materialise(events_dirty(spark, sf_dir), "dirty")).select("quality_score")
 
 
 _REPORT_COLUMNS = ["quality_score", "total_rows", "total_columns", "missing_cells", "missing_percent", "duplicate_rows", "outliers"]
@@ -175,7 +176,7 @@ _REPORT_COLUMNS = ["quality_score", "total_rows", "total_columns", "missing_cell
     f"WITH {DIRTY_REPORT} SELECT {', '.join(_REPORT_COLUMNS)}, constant_columns, CAST(0 AS INTEGER) AS invalid_columns FROM report",
 )
 def quality_report(spark, sf_dir):
-    return quality.quality_report(events_dirty(spark, sf_dir)).select(
+    return quality.quality_report(materialise(events_dirty(spark, sf_dir), "dirty")).select(
         *_REPORT_COLUMNS, F.array_join("constant_columns", "|").alias("constant_columns"), F.size("invalid_values").alias("invalid_columns")
     )
 
@@ -193,9 +194,7 @@ def quality_report(spark, sf_dir):
         UNION ALL SELECT 'flag_outliers', 'Flag Statistical Outliers', outliers || ' values lie outside 3x IQR.', 'Low', false FROM report WHERE outliers > 0""",
 )
 def quality_actions(spark, sf_dir):
-    from dataprobe.scratch import materialise
-
-    d = events_dirty(spark, sf_dir)
+    d = materialise(events_dirty(spark, sf_dir), "dirty")
     p = materialise(profile(d), "profile")
     return quality.quality_actions(d, p, quality.quality_report(d, p))
 
@@ -318,8 +317,6 @@ def clean_report(spark, sf_dir):
 )
 def quality_after_clean(spark, sf_dir):
     out, _ = clean.clean(events_dirty(spark, sf_dir), ["event_id"], mark_outliers=False)
-    from dataprobe.scratch import materialise
-
     return quality.quality_report(materialise(out, "cleaned")).select(
         *_REPORT_COLUMNS, F.array_join("constant_columns", "|").alias("constant_columns")
     )

@@ -36,3 +36,12 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for steps that compute far more than they read.
+
+    A table written after a join may be a few small files; a large one already has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
