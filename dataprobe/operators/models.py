@@ -291,8 +291,11 @@ def target_drivers(
     keep = [y.alias("label"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")]
     frame, used = feature_frame(rows, features, keep)
     vec = assemble(spread(materialise(frame, "drivers")), used)
-    maker = RandomForestClassifier if classify else RandomForestRegressor
-    rf = maker(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=_max_bins())
+    maker, subset = (RandomForestClassifier, "sqrt") if classify else (RandomForestRegressor, "all")
+    rf = maker(
+        labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=_max_bins(),
+        featureSubsetStrategy=subset,
+    )
     full = rf.fit(vec)
     is_test = F.pmod("_h", F.lit(1000)) < int(test_share * 1000)
     held = rf.fit(vec.filter(~is_test))

@@ -100,7 +100,7 @@ def _value_facts(df: DataFrame, exact: bool) -> DataFrame:
     if not exact:
         texts = clean.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
         frequent = lambda c: F.expr(f"transform(approx_top_k(`{c}`, {SAMPLES}), x -> x.item)")
-        row = texts.agg(*[x for i, c in enumerate(df.columns) for x in (F.approx_count_distinct(c).alias(f"d{i}"), frequent(c).alias(f"t{i}"))])
+        row = texts.agg(*[x for i, c in enumerate(df.columns) for x in (F.approx_count_distinct(c, 0.01).alias(f"d{i}"), frequent(c).alias(f"t{i}"))])
         structs = [
             F.struct(
                 F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_count"),

@@ -174,7 +174,9 @@ def regression_drivers(df: DataFrame, metric: str, *, trees: int = 50, depth: in
     if not used:
         frame, used = _record_index(df, y)
     vec = models.assemble(spread(materialise(frame, "rootcause")), used)
-    rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    rf = RandomForestRegressor(
+        labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all"
+    )
     fit = models.Fitted(rf.fit(vec), used, vec)
     numeric = [c for c in used if c in columns_of(df, "numeric")]
     best = fit.importances().orderBy(F.col("importance").desc(), "feature").limit(top)

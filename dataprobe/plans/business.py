@@ -10,7 +10,10 @@ from dataprobe.operators.shape import filter_equal
 from dataprobe.plans.inputs import SALES, sales
 from dataprobe.plans.registry import query, table
 
-DAY = F.date_format("date", "yyyy-MM-dd").alias("date")
+
+def day():
+    return F.date_format("date", "yyyy-MM-dd").alias("date")
+
 
 
 def ledger(spark, sf_dir):
@@ -91,7 +94,7 @@ TREND = f"""WITH {SALES}, d AS (SELECT order_date AS date, CAST(sum(revenue) AS
 
 @query("chart_trend", f"{TREND} SELECT strftime(date, '%Y-%m-%d') AS date, value FROM d")
 def chart_trend(spark, sf_dir):
-    return charts.trend(sales(spark, sf_dir), "order_date", "revenue").select(DAY, "value")
+    return charts.trend(sales(spark, sf_dir), "order_date", "revenue").select(day(), "value")
 
 
 @query(

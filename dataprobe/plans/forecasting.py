@@ -10,7 +10,10 @@ from dataprobe.operators.iforest import isolate
 from dataprobe.plans.aggregates import DAILY_ORDERS, daily_orders
 from dataprobe.plans.registry import query, table
 
-DAY = F.date_format("date", "yyyy-MM-dd").alias("date")
+
+def day():
+    return F.date_format("date", "yyyy-MM-dd").alias("date")
+
 
 
 def _band_sql(frame, enough):
@@ -27,7 +30,7 @@ _SHOW = "strftime(date, '%Y-%m-%d') AS date, round(expected, 4) AS expected, rou
 
 def _shown(b):
     r = lambda c: F.round(c, 4).alias(c)
-    return b.select(DAY, r("expected"), r("lower_bound"), r("upper_bound"), "is_outside")
+    return b.select(day(), r("expected"), r("lower_bound"), r("upper_bound"), "is_outside")
 
 
 @query("anomaly_band", f"WITH {CURRENT} SELECT {_SHOW} FROM band")
@@ -151,7 +154,7 @@ def forecast_densify(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     year = F.trunc(F.to_date("o_orderdate"), "year").alias("date")
     d = o.groupBy(year).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return ts.densify(d).select(DAY, F.round("value", 6).alias("value"))
+    return ts.densify(d).select(day(), F.round("value", 6).alias("value"))
 
 
 @query(
@@ -170,4 +173,4 @@ def forecast_summary(spark, sf_dir):
     f"WITH {DAILY_ORDERS} SELECT strftime(date, '%Y-%m-%d') AS date, v AS value FROM daily ORDER BY date DESC LIMIT 45",
 )
 def forecast_history(spark, sf_dir):
-    return ts.history(_daily(spark, sf_dir)).select(DAY, "value")
+    return ts.history(_daily(spark, sf_dir)).select(day(), "value")

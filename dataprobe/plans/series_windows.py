@@ -11,7 +11,10 @@ from dataprobe.plans.aggregates import DAILY_ORDERS, daily_orders
 from dataprobe.plans.inputs import EVENTS_DIRTY, events_dirty
 from dataprobe.plans.registry import query, table
 
-DAY = F.date_format("date", "yyyy-MM-dd").alias("date")
+def day():
+    return F.date_format("date", "yyyy-MM-dd").alias("date")
+
+
 SQL_DAY = "strftime(date, '%Y-%m-%d') AS date"
 LAST7 = "OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 
@@ -19,7 +22,7 @@ LAST7 = "OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 @query("rolling_mean7", f"WITH {DAILY_ORDERS} SELECT {SQL_DAY}, round(avg(v) {LAST7}, 4) AS rolling_mean FROM daily")
 def rolling_mean7(spark, sf_dir):
     m = series.rolling_mean(F.col("sum_val"), series.trailing("date"))
-    return daily_orders(spark, sf_dir).select(DAY, F.round(m, 4).alias("rolling_mean"))
+    return daily_orders(spark, sf_dir).select(day(), F.round(m, 4).alias("rolling_mean"))
 
 
 @query(
@@ -28,7 +31,7 @@ def rolling_mean7(spark, sf_dir):
 )
 def rolling_std7(spark, sf_dir):
     s = series.rolling_std(F.col("sum_val"), series.trailing("date"))
-    return daily_orders(spark, sf_dir).select(DAY, F.round(s, 4).alias("rolling_std"))
+    return daily_orders(spark, sf_dir).select(day(), F.round(s, 4).alias("rolling_std"))
 
 
 @query(
@@ -38,7 +41,7 @@ def rolling_std7(spark, sf_dir):
 )
 def rolling_minp3(spark, sf_dir):
     m, s = series.rolling_with_minimum(F.col("sum_val"), series.trailing("date"), 3)
-    return daily_orders(spark, sf_dir).select(DAY, F.round(m, 4).alias("m"), F.round(s, 4).alias("s"))
+    return daily_orders(spark, sf_dir).select(day(), F.round(m, 4).alias("m"), F.round(s, 4).alias("s"))
 
 
 @query(
@@ -63,7 +66,7 @@ def qcut_bins(spark, sf_dir):
 )
 def first_diff(spark, sf_dir):
     d = series.first_difference(F.col("sum_val"), "date")
-    return daily_orders(spark, sf_dir).select(DAY, F.round(d, 2).alias("diff"))
+    return daily_orders(spark, sf_dir).select(day(), F.round(d, 2).alias("diff"))
 
 
 @query(
@@ -110,7 +113,7 @@ def interpolate_linear(spark, sf_dir):
 
     big = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 450000)
     daily = big.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-    return series.interpolate(dense_calendar(daily), "v").select(DAY, F.round("v", 6).alias("v"))
+    return series.interpolate(dense_calendar(daily), "v").select(day(), F.round("v", 6).alias("v"))
 
 
 @query(
