@@ -22,7 +22,12 @@ _label("label_binary", "labels", "quality", "quality", "'Quality'")
 _label("label_posword", "orders", "o_orderpriority", "lower(o_orderpriority) = '1-urgent'", "'O Orderpriority = 1-urgent'")
 _RARE = "(SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*), 1 DESC LIMIT 1)"
 _label("label_minority", "orders", "o_orderstatus", f"o_orderstatus = {_RARE}", f"'O Orderstatus = ' || {_RARE}")
-_label("label_loss", "customer", "c_acctbal", "c_acctbal <= 0", "'Unprofitable / Loss Risk (C Acctbal <= 0)'")
+_LOSSES = "(SELECT count(*) FILTER (c_acctbal < 0) >= 20 FROM customer)"
+_label(
+    "label_loss", "customer", "c_acctbal",
+    f"CASE WHEN {_LOSSES} THEN c_acctbal <= 0 ELSE c_acctbal <= (SELECT quantile_cont(c_acctbal, 0.25) FROM customer) END",
+    f"CASE WHEN {_LOSSES} THEN 'Unprofitable / Loss Risk (C Acctbal <= 0)' ELSE 'Low C Acctbal Risk' END",
+)
 _label(
     "label_quartile", "orders", "o_totalprice", "o_totalprice <= (SELECT quantile_cont(o_totalprice, 0.25) FROM orders)",
     "'Low O Totalprice Risk'",
