@@ -73,8 +73,15 @@ def sample_std(c: Column | str) -> Column:
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since the epoch for date, timestamp and timestamp_ntz columns."""
-    return F.unix_micros(col(ts).cast("timestamp"))
+    """Wall-clock microseconds since 1970 for date, timestamp and timestamp_ntz columns.
+
+    Built from the day and the time of day, so daylight saving of the session's zone plays no part.
+    """
+    t = col(ts).cast("timestamp_ntz")
+    days = F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = F.hour(t) * 60 + F.minute(t)
+    micros = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return days * 86_400_000_000 + minutes.cast("long") * 60_000_000 + micros
 
 
 def whole_days_between(later: Column, earlier: Column) -> Column:

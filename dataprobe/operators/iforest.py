@@ -19,7 +19,7 @@ from dataprobe.operators.quantiles import quantile_row
 
 TREES, SAMPLE, SEED = 100, 256, 42
 _EULER = 0.5772156649015329
-_BUCKETS = 1 << 30
+_BUCKETS = 1 << 62  # fine enough for any table size
 
 
 def mean_path(n) -> np.ndarray:

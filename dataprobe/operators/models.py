@@ -83,15 +83,26 @@ class Label:
     description: str
 
 
+def few_values(df: DataFrame, column: str, limit: int) -> list | None:
+    """The distinct known values when there are at most ``limit``, else null.
+
+    A sketch rules out continuous columns first, so their distinct values are never shuffled.
+    """
+    if df.agg(F.approx_count_distinct(column)).first()[0] > 4 * limit + 20:
+        return None
+    rows = df.select(column).na.drop().distinct().limit(limit + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= limit else None
+
+
 def binary_label(df: DataFrame, column: str, class_limit: int = 5, min_losses: int = 20) -> Label:
     """Derive a risk label from a class column or from a continuous one."""
     title = title_text(column)
     numeric = is_numeric(df, column)
-    counts = value_counts_by_column(df.select(column), [column])
-    few = counts.orderBy("value").limit(class_limit + 1).collect() if numeric else None
-    if not numeric or len(few) <= class_limit:
-        if numeric and {float(r["value"]) for r in few} <= {0.0, 1.0}:
+    few = few_values(df, column, class_limit) if numeric else None
+    if not numeric or few is not None:
+        if numeric and {float(v) for v in few} <= {0.0, 1.0}:
             return Label(F.col(column).cast("int"), column, title)
+        counts = value_counts_by_column(df.select(column), [column])
         lowered = F.lower("value")
         pattern = "|".join(POSITIVE_WORDS)
         match = counts.filter(lowered.rlike(pattern)).agg(F.min(lowered)).first()[0]
@@ -117,7 +128,7 @@ def is_classification(df: DataFrame, target: str) -> bool:
     """Non-numeric, boolean, or at most ten distinct values."""
     if not is_numeric(df, target):
         return True
-    return df.select(target).na.drop().distinct().limit(11).count() <= 10
+    return few_values(df, target, 10) is not None
 
 
 # ------------------------------------------------------------------ features

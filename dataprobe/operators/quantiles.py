@@ -8,7 +8,7 @@ rank are sorted. Both ways give the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.numeric import as_double
@@ -45,9 +45,7 @@ def _by_rank_search(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     # one row of at most BUCKETS-1 numbers per column
     cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     splits = counted.groupBy("column").agg(F.percentile_approx("v", cuts, 10_000).alias("cuts"))
-    bucketed = counted.join(F.broadcast(splits), "column").select(
-        "column", "v", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("bucket")
-    )
+    bucketed = counted.join(F.broadcast(splits), "column").select("column", "v", "n", _cuts_below("cuts", F.col("v")).alias("bucket"))
     sizes = bucketed.groupBy("column", "bucket").agg(F.sum("n").alias("size"))
     upto = Window.partitionBy("column").orderBy("bucket")
     starts = sizes.select(
@@ -85,6 +83,12 @@ def _by_rank_search(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     return arrays.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns])
 
 
+def _cuts_below(cuts: str, v: Column) -> Column:
+    """How many of the sorted cuts lie below ``v``, by halving steps."""
+    steps = F.lit([BUCKETS >> i for i in range(1, BUCKETS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.try_element_at(F.col(cuts), at + s) < v, s).otherwise(0))
+
+
 def median_row(df: DataFrame, columns: list[str], **kw) -> DataFrame:
     """One row with the median of each column."""
     row = quantile_row(df, columns, [0.5], **kw)

@@ -30,16 +30,18 @@ def with_periods(
 ) -> DataFrame:
     """Add ``in_p1`` and ``in_p2``: before/within the given dates, or the first 55 % of the ordered rows and the rest.
 
-    A side that the dates leave empty becomes the first or the second half of the rows.
+    A side that the dates leave empty becomes the first or the second half of the rows. The tagged rows are
+    written once, as every part of an investigation reads them.
     """
     rows = df.filter(F.col(ts).isNotNull())
     if start is None:
-        return _positional(rows, order_by, share, {"in_p1", "in_p2"})
+        return materialise(_positional(rows, order_by, share, {"in_p1", "in_p2"}), "periods")
     tag = tag_period(ts, start, end)
-    tagged = rows.withColumn("in_p1", F.coalesce(tag == "p1", F.lit(False))).withColumn("in_p2", F.coalesce(tag == "p2", F.lit(False)))
+    sides = {"in_p1": F.coalesce(tag == "p1", F.lit(False)), "in_p2": F.coalesce(tag == "p2", F.lit(False))}
+    tagged = materialise(rows.withColumns(sides), "periods")
     filled = tagged.agg(F.max("in_p1").alias("in_p1"), F.max("in_p2").alias("in_p2")).first()
-    empty = {c for c in ("in_p1", "in_p2") if not filled[c]}
-    return _positional(tagged, order_by, 0.5, empty) if empty else tagged
+    empty = {c for c in sides if not filled[c]}
+    return materialise(_positional(tagged, order_by, 0.5, empty), "periods") if empty else tagged
 
 
 def _positional(rows: DataFrame, order_by: list[str], share: float, sides: set[str]) -> DataFrame:
@@ -265,7 +267,7 @@ def investigate(
     df: DataFrame, metric: str, ts: str, order_by: list[str], start=None, end=None, dims: list[str] | None = None
 ) -> dict[str, DataFrame]:
     """All parts of a period investigation over one written, tagged table."""
-    tagged = materialise(with_periods(df, ts, order_by, start, end), "periods")
+    tagged = with_periods(df, ts, order_by, start, end)
     totals = materialise(period_totals(tagged, ts, metric), "totals")
     dims = usable_dimensions(df) if dims is None else dims
     items = decompose(tagged, totals, metric, dims) if dims else numeric_fallback(tagged, totals, metric)

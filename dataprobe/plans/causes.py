@@ -33,7 +33,7 @@ def _items(dims, src="t", value="revenue"):
 
 
 def _tagged(spark, sf_dir):
-    return materialise(rootcause.with_periods(sales_planted(spark, sf_dir), "order_date", ["order_date", "order_id"], START, END), "periods")
+    return rootcause.with_periods(sales_planted(spark, sf_dir), "order_date", ["order_date", "order_id"], START, END)
 
 
 def _round(df, *cols):
