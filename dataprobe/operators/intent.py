@@ -179,7 +179,8 @@ def chart_of(q: Column, axis: Column) -> Column:
 def off_topic(q: Column, ws: Column, columns: list[str]) -> Column:
     """No words, or neither a column nor a word of the vocabulary; greetings are on topic."""
     parts = sorted({p for c in columns for p in c.lower().split("_") if len(p) > 2})
-    named = _any(q, [c.lower() for c in columns]) | F.arrays_overlap(ws, F.lit(parts))
+    named = _any(q, [c.lower() for c in columns]) if columns else F.lit(False)
+    named = named | F.arrays_overlap(ws, F.lit(parts)) if parts else named
     known = F.arrays_overlap(ws, F.lit(list(VOCABULARY)))
     return (F.size(ws) == 0) | ~(q.isin(*GREETINGS) | named | known)
 

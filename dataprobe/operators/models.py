@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from dataprobe.functions.formatting import title_case, title_text
 from dataprobe.functions.ladders import ladder
-from dataprobe.functions.numeric import as_double, half_even, pearson
+from dataprobe.functions.numeric import as_double, half_even
 from dataprobe.operators import metrics
-from dataprobe.operators.aggregates import value_counts_by_column
+from dataprobe.operators.aggregates import distinct_counts, value_counts_by_column
 from dataprobe.operators.ordering import ranked_within, row_index
 from dataprobe.operators.quantiles import median_row, quantile_row
 from dataprobe.operators.shape import columns_of
@@ -133,28 +133,30 @@ def is_classification(df: DataFrame, target: str) -> bool:
 
 # ------------------------------------------------------------------ features
 
-def leakage_report(df: DataFrame, source: str, max_corr: float = 0.90) -> DataFrame:
-    """One row per candidate feature with the reason it is dropped, or ``kept``.
+def correlation_with(df: DataFrame, target: Column, features: list[str]) -> DataFrame:
+    """``feature, correlation`` of each numeric feature with the target; rows are spread per feature in the task."""
+    if not features:
+        return df.sparkSession.createDataFrame([], "feature string, correlation double")
+    values = df.select(as_double(target).alias("_y"), *[as_double(c).alias(f"x{i}") for i, c in enumerate(features)])
+    cells = [F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in range(len(features))]
+    long = values.select("_y", F.explode(F.array(*cells)).alias("s")).select("_y", "s.*").filter("x IS NOT NULL AND _y IS NOT NULL")
+    r = F.try_divide(F.covar_pop("x", "_y"), F.stddev_pop("x") * F.stddev_pop("_y"))
+    return long.groupBy("i").agg(r.alias("correlation")).select(F.get(F.lit(features), F.col("i")).alias("feature"), "correlation")
 
-    All columns are measured in one aggregate.
-    """
+
+def leakage_report(df: DataFrame, source: str, max_corr: float = 0.90) -> DataFrame:
+    """One row per candidate feature with the reason it is dropped, or ``kept``."""
     cands = [c for c in df.columns if c != source]
-    with_corr = {c for c in cands if is_numeric(df, c) and is_numeric(df, source)}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cands):
-        aggs.append(F.count_distinct(c).alias(f"d{i}"))
-        aggs.append((pearson(c, source) if c in with_corr else F.lit(None).cast("double")).alias(f"r{i}"))
-    stats = df.agg(*aggs)
-    rows = F.explode(
-        F.array(*[
-            F.struct(
-                F.lit(c).alias("feature"), F.col(f"d{i}").alias("distinct_count"), F.col(f"r{i}").alias("correlation"),
-                F.lit(is_id_like(c)).alias("id_like"), F.col("_rows"),
-            )
-            for i, c in enumerate(cands)
-        ])
+    numeric = [c for c in cands if is_numeric(df, c)] if is_numeric(df, source) else []
+    counts = distinct_counts(df, cands).withColumnRenamed("column", "feature")
+    known = df.sparkSession.createDataFrame([(c, is_id_like(c)) for c in cands], "feature string, id_like boolean")
+    rows = F.broadcast(df.agg(F.count(F.lit(1)).alias("_rows")))
+    # one row per column on every side
+    r = (
+        counts.join(F.broadcast(known), "feature")
+        .join(F.broadcast(correlation_with(df, F.col(source), numeric)), "feature", "left")
+        .crossJoin(rows)
     )
-    r = stats.select(rows.alias("s")).select("s.*")
     verdict = (
         F.when(F.col("id_like"), "identifier")
         .when(F.col("distinct_count") <= 1, "constant")
@@ -269,15 +271,15 @@ def risk_contributions(fit: Fitted, top: int = 8) -> DataFrame:
 
 
 def driver_direction(df: DataFrame, target: Column, features: list[str]) -> DataFrame:
-    """``feature, correlation, direction`` of each numeric feature against the target, in one aggregate."""
-    row = df.withColumn("_y", target).agg(*[pearson(c, "_y").alias(c) for c in features])
+    """``feature, correlation, direction`` of each numeric feature against the target."""
+    found = correlation_with(df, target, features)
     r = F.coalesce("correlation", F.lit(0.0))
     direction = (
         F.when(r > 0.05, "Positive (Higher values increase target)")
         .when(r < -0.05, "Negative (Higher values decrease target)")
         .otherwise("Non-linear Complex Influence")
     )
-    return row.unpivot([], features, "feature", "correlation").select("feature", "correlation", direction.alias("direction"))
+    return found.select("feature", "correlation", direction.alias("direction"))
 
 
 def target_drivers(
@@ -316,7 +318,7 @@ def target_drivers(
     drivers = (
         fit.importances()
         .filter(F.col("importance") >= 0.01)
-        .join(direction, "feature")
+        .join(F.broadcast(direction), "feature", "left")
         .withColumn("correlation", half_even(F.coalesce("correlation", F.lit(0.0)), 2))
         .withColumn("impact", impact)
         .orderBy(F.col("importance").desc(), "feature")

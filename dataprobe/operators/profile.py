@@ -49,74 +49,83 @@ def two_decimals(c: Column) -> Column:
     return F.regexp_replace(F.round(c.cast("double"), 2).cast("decimal(38,2)").cast("string"), "0$", "")
 
 
-def _column_facts(i: int, f: T.StructField) -> list[Column]:
-    c, fam = F.col(f.name), _family(f.dataType)
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
-    known = F.when(~is_missing(c, f.dataType), c)
-    if fam in ("integer", "float"):
-        not_bool, fraction, dates = F.count_if(~known.isin(0, 1)), F.count_if(known % 1 != 0), zero
-        lo, hi = two_decimals(F.min(known)), two_decimals(F.max(known))
+def _measure(tall: DataFrame, fam: str) -> DataFrame:
+    """Counts and range per key of a (key, v) table of one family."""
+    v, zero = F.col("v"), F.lit(0).cast("long")
+    if fam == "number":
+        known = F.when(~F.isnan(v), v)
+        parts = [F.count_if(~known.isin(0, 1)), F.count_if(known % 1 != 0), zero, two_decimals(F.min(known)), two_decimals(F.max(known))]
     elif fam == "string":
-        not_bool, fraction, dates = F.count_if(~c.isin(*BOOLEAN_TEXT)), zero, F.count_if(looks_like_date(c))
-        lo, hi = F.min(c), F.max(c)
-    elif fam == "datetime":
-        not_bool, fraction, dates = zero, zero, zero
-        text = lambda t: F.date_format(t.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
-        lo, hi = text(F.min(c)), text(F.max(c))
+        known = v
+        parts = [F.count_if(~v.isin(*BOOLEAN_TEXT)), zero, F.count_if(looks_like_date(v)), F.min(v), F.max(v)]
     else:
-        not_bool, fraction, dates, lo, hi = zero, zero, zero, none, none
-    return [
-        F.count_if(is_missing(c, f.dataType)).alias(f"miss{i}"), not_bool.alias(f"nb{i}"), fraction.alias(f"fr{i}"),
-        dates.alias(f"dt{i}"), lo.alias(f"lo{i}"), hi.alias(f"hi{i}"),
-    ]
+        known = v
+        text = lambda t: F.date_format(t.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+        ends = [text(F.min(v)), text(F.max(v))] if fam == "datetime" else [F.lit(None).cast("string")] * 2
+        parts = [zero, zero, zero, *ends]
+    names = ("not_boolean", "fractions", "dates", "lo", "hi")
+    return tall.groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(known.isNull()).alias("missing_count"), *[p.alias(n) for p, n in zip(parts, names)]
+    )
+
+
+# how each family is measured, and as what type
+_MEASURED = {
+    "integer": ("number", "double"), "float": ("number", "double"), "string": ("string", "string"),
+    "datetime": ("datetime", "timestamp_ntz"), "boolean": ("other", "boolean"), "other": ("other", None),
+}
 
 
 def column_facts(df: DataFrame) -> DataFrame:
-    """One row per column: position, schema family and the measurements of the single aggregate."""
-    fields = list(df.schema)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[a for i, f in enumerate(fields) for a in _column_facts(i, f)])
+    """One row per column: position, schema family and measurements.
+
+    Columns of one family are stacked and grouped by column: each is read once, a task shuffles one record
+    per column, and the aggregate stays small however wide the table.
+    """
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    families = [_family(f.dataType) for f in df.schema]
     safe = safe_names(df.columns)
-    structs = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(safe[i]).alias("safe_column_name"),
-            F.lit(_family(f.dataType)).alias("family"), F.col("rows"), F.col(f"miss{i}").alias("missing_count"),
-            F.col(f"nb{i}").alias("not_boolean"), F.col(f"fr{i}").alias("fractions"), F.col(f"dt{i}").alias("dates"),
-            F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"),
-        )
-        for i, f in enumerate(fields)
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    known = df.sparkSession.createDataFrame(
+        [(f"c{i}", i, f.name, safe[i], families[i]) for i, f in enumerate(df.schema)],
+        "key string, position int, column_name string, safe_column_name string, family string",
+    )
+    facts = None
+    for fam in ("number", "string", "datetime", "other"):
+        at = [i for i, f in enumerate(families) if _MEASURED[f][0] == fam]
+        if not at:
+            continue
+        # of a nested column only the gaps are measured
+        value = lambda i: F.col(f"c{i}").cast(_MEASURED[families[i]][1]) if families[i] != "other" else F.when(F.col(f"c{i}").isNotNull(), True)
+        tall = flat.select(*[value(i).alias(f"c{i}") for i in at]).unpivot([], [f"c{i}" for i in at], "key", "v")
+        part = _measure(tall, fam)
+        facts = part if facts is None else facts.unionByName(part)
+    return known.join(F.broadcast(facts), "key", "left").na.fill(0, ["rows", "missing_count", "not_boolean", "fractions", "dates"])
 
 
 def _value_facts(df: DataFrame, exact: bool) -> DataFrame:
-    """``column_name, distinct_count, sample_values``.
+    """``key, distinct_count, sample_values``.
 
     Exact: distinct values are grouped and counted, samples are the first in order. Otherwise mergeable
     sketches of fixed size in one pass: nothing but the sketches is shuffled, samples are frequent values.
     """
-    clean = df.select(
-        *[F.when(~is_missing(f.name, f.dataType), F.col(f.name)).alias(f.name) for f in df.schema]
-    )
+    keys = [f"c{i}" for i in range(len(df.columns))]
+    flat = df.toDF(*keys)
+    clean = flat.select(*[F.when(~is_missing(f.name, f.dataType), F.col(f.name)).cast("string").alias(f.name) for f in flat.schema])
     if not exact:
-        texts = clean.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-        frequent = lambda c: F.expr(f"transform(approx_top_k(`{c}`, {SAMPLES}), x -> x.item)")
-        row = texts.agg(*[x for i, c in enumerate(df.columns) for x in (F.approx_count_distinct(c, 0.01).alias(f"d{i}"), frequent(c).alias(f"t{i}"))])
-        structs = [
-            F.struct(
-                F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_count"),
-                F.array_sort(F.filter(f"t{i}", lambda v: v.isNotNull())).alias("sample_values"),
-            )
-            for i, c in enumerate(df.columns)
-        ]
-        return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-    values = value_counts_by_column(clean, df.columns)
+        tall = clean.unpivot([], keys, "key", "v")
+        frequent = F.expr(f"transform(approx_top_k(v, {SAMPLES}), x -> x.item)")
+        return tall.groupBy("key").agg(
+            F.approx_count_distinct("v", 0.01).alias("distinct_count"),
+            F.array_sort(F.filter(frequent, lambda v: v.isNotNull())).alias("sample_values"),
+        )
+    values = value_counts_by_column(clean, keys)
     samples = (
         ranked_within(values, ["column"], [F.col("value")], SAMPLES)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
     )
     counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    return counts.join(samples, "column", "left").withColumnRenamed("column", "column_name")
+    return counts.join(samples, "column", "left").withColumnRenamed("column", "key")
 
 
 def _has_any(name: Column, words) -> Column:
@@ -146,7 +155,7 @@ def semantic_type() -> Column:
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column, in column order."""
-    facts = column_facts(df).join(_value_facts(df, exact), "column_name", "left")
+    facts = column_facts(df).join(F.broadcast(_value_facts(df, exact)), "key", "left")
     facts = facts.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
     typed = facts.withColumn("detected_type", semantic_type())
     kind, name = F.col("detected_type"), F.col("column_name")

@@ -25,24 +25,16 @@ def fences(quartiles: Column) -> tuple[Column, Column, Column]:
 
 def outlier_counts(df: DataFrame, columns: list[str], min_rows: int = 10, **kw) -> DataFrame:
     """``column, q1, q3, known, outliers``: values strictly beyond three IQRs, 0 when IQR is 0 or rows are few."""
-    q = quantile_row(df, columns, [0.25, 0.75], **kw).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
-    both = df.select(*[as_double(c).alias(c) for c in columns]).crossJoin(F.broadcast(q))
-    aggs = []
-    for i, c in enumerate(columns):
-        iqr, lo, hi = fences(F.col(f"_q_{c}"))
-        aggs += [
-            F.count(c).alias(f"n{i}"), F.max(F.col(f"_q_{c}")).alias(f"q{i}"),
-            F.count_if((iqr > 0) & ((F.col(c) < lo) | (F.col(c) > hi))).alias(f"o{i}"),
-        ]
-    row = both.agg(*aggs)
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("q3"), F.col(f"n{i}").alias("known"),
-            F.when(F.col(f"n{i}") >= min_rows, F.col(f"o{i}")).otherwise(0).alias("outliers"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    q = quantile_row(df, columns, [0.25, 0.75], **kw).unpivot([], columns, "column", "q")
+    values = df.select(*[as_double(c).alias(c) for c in columns]).unpivot([], columns, "column", "v")
+    iqr, lo, hi = fences(F.col("q"))
+    outside = (iqr > 0) & ((F.col("v") < lo) | (F.col("v") > hi))
+    # one row per column
+    g = values.join(F.broadcast(q), "column").groupBy("column", "q").agg(F.count("v").alias("known"), F.count_if(outside).alias("n"))
+    return g.select(
+        "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "known",
+        F.when(F.col("known") >= min_rows, F.col("n")).otherwise(0).alias("outliers"),
+    )
 
 
 def invalid_negatives(df: DataFrame, columns: list[str], words=NON_NEGATIVE) -> DataFrame:
@@ -88,7 +80,7 @@ def quality_report(df: DataFrame, profiles: DataFrame | None = None) -> DataFram
     dup = duplicate_count(df).select("duplicate_rows")
     rows = profiles.agg(F.max("rows")).first()[0] or 0
     if numeric:
-        out = outlier_counts(df, numeric, rows=rows).agg(F.sum("outliers").alias("outliers"))
+        out = outlier_counts(df, numeric, rows=rows).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outliers"))
     else:
         out = base.select(F.lit(0).cast("long").alias("outliers"))
     bad = invalid_negatives(df, numeric).filter("negatives > 0").agg(

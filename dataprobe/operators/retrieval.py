@@ -10,7 +10,7 @@ from dataprobe.operators import eda, roles
 from dataprobe.operators.aggregates import value_counts_by_column
 from dataprobe.operators.models import is_id_like
 from dataprobe.operators.ordering import ranked_within
-from dataprobe.operators.profile import column_facts, profile, two_decimals
+from dataprobe.operators.profile import profile, two_decimals
 from dataprobe.operators.shape import TEMPORAL, columns_of
 from dataprobe.scratch import materialise
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.functions.formatting import format_metric, title_case, title_text
-from dataprobe.functions.numeric import as_double, half_even, pct_change, pearson, ratio
+from dataprobe.functions.numeric import as_double, half_even, pct_change, ratio
 from dataprobe.operators import metrics, models
 from dataprobe.operators.aggregates import value_counts_by_column
 from dataprobe.operators.ordering import row_index
@@ -109,8 +109,9 @@ def best_correlated(df: DataFrame, metric: str) -> str:
     cols = [c for c in columns_of(df, "numeric") if c != metric and not models.is_id_like(c, ("id", "uuid", "unnamed"))]
     if not cols:
         raise ValueError("no numeric column besides the metric")
-    r = df.agg(*[F.abs(pearson(metric, c)).alias(c) for c in cols]).first()
-    return max(cols, key=lambda c: (r[c] if r[c] is not None else -1.0, -cols.index(c)))
+    found = models.correlation_with(df, F.col(metric), cols).filter("correlation IS NOT NULL").collect()  # one row per column
+    r = {x["feature"]: abs(x["correlation"]) for x in found}
+    return max(cols, key=lambda c: (r.get(c, -1.0), -cols.index(c)))
 
 
 def numeric_fallback(tagged: DataFrame, totals: DataFrame, metric: str) -> DataFrame:
@@ -183,7 +184,7 @@ def regression_drivers(df: DataFrame, metric: str, *, trees: int = 50, depth: in
     numeric = [c for c in used if c in columns_of(df, "numeric")]
     best = fit.importances().orderBy(F.col("importance").desc(), "feature").limit(top)
     if numeric:
-        corr = df.agg(*[pearson(metric, c).alias(c) for c in numeric]).unpivot([], numeric, "feature", "r")
+        corr = models.correlation_with(df, F.col(metric), numeric).withColumnRenamed("correlation", "r")
         best = best.join(F.broadcast(corr), "feature", "left")
     else:
         best = best.withColumn("r", F.lit(None).cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dataprobe.functions.numeric import half_even
 from dataprobe.operators import charts, kpi
-from dataprobe.operators.shape import filter_equal
+from dataprobe.operators.dashboard import dashboard
 from dataprobe.plans.inputs import SALES, sales
 from dataprobe.plans.registry import query, table
 
@@ -83,7 +83,10 @@ SOUTH = LEDGER + ", asia AS (SELECT * FROM ledger WHERE region = 'ASIA')"
 
 @query("dashboard_filtered_kpis", f"WITH {SOUTH}, {kpi_sql('asia')} SELECT * FROM kpi_rows")
 def dashboard_filtered_kpis(spark, sf_dir):
-    return kpi.kpi_table_by_role(filter_equal(ledger(spark, sf_dir), {"region": "ASIA", "unknown": "x"}), "order_date")
+    parts = dashboard(
+        ledger(spark, sf_dir), ["order_date", "order_id", "revenue"], {"region": "ASIA", "unknown": "x"}, "order_date", ["region", "segment"]
+    )
+    return parts["kpis"]
 
 
 # --------------------------------------------------------------------- charts

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dataprobe.operators.aggregates import breakdown, value_counts_by_column
-from dataprobe.operators.ordering import last_n, ranked_within, top_k
+from dataprobe.operators.aggregates import breakdown
+from dataprobe.operators.dashboard import option_lists
+from dataprobe.operators.ordering import last_n, top_k
 from dataprobe.plans.aggregates import DAILY_ORDERS, daily_orders
 from dataprobe.plans.inputs import EVENTS_DIRTY, SALES, events_dirty, sales
 from dataprobe.plans.registry import query, table
@@ -45,12 +46,6 @@ def filter_options(spark, sf_dir):
     return option_lists(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
 
-def option_lists(df, columns, k=15):
-    """The first ``k`` distinct values of each column in order."""
-    values = value_counts_by_column(df, columns).select("column", F.col("value").alias("option"))
-    return ranked_within(values, ["column"], [F.col("option")], k, "position")
-
-
 @query(
     "dedup_rows",
     f"""WITH {EVENTS_DIRTY}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from dataprobe.operators import ask, charts, clean, eda, iforest, intent, kpi, metrics, models, quality, report, retrieval, rfm, roles, rootcause, sqlsurface
 from dataprobe.operators import timeseries as ts
+from dataprobe.operators.dashboard import dashboard
 from dataprobe.operators.profile import best_target, profile
 from dataprobe.plans.inputs import events_dirty, sales_planted
 
@@ -118,6 +119,21 @@ def test_six_charts_before_and_after_filtering(shop):
     assert len(charts.automatic(south, ["order_id"])) == 6
 
 
+def test_dashboard_parts(shop):
+    parts = dashboard(shop, ["order_date", "order_id"], {"region": "South"}, "order_date")
+    assert parts["row_count"].first()[0] == 1200
+    assert {r["option"] for r in parts["options"].filter("column = 'region'").collect()} == {"North", "South", "East", "West"}
+    assert [r["kpi"] for r in parts["kpis"].collect()] == ["total_records", "primary_monetary", "critical_risk"]
+    assert [r["level"] for r in parts["alerts"].collect()].count("danger") == 1
+    assert sum(k.startswith("chart_") for k in parts) == 6
+
+
+def test_a_table_without_columns_is_off_topic(spark):
+    q = spark.createDataFrame([("tell me a joke",), ("show totals",)], "question string")
+    r = intent.intents(q, intent.Catalogue([])).collect()
+    assert [x["off_topic"] for x in r] == [True, False] and r[0]["metric"] is None and r[0]["aggregation"] == "count"
+
+
 def test_chart_roles(shop):
     r = roles.chart_roles(shop)
     assert (r["metric"], r["dimension"], r["risk"], r["date"]) == ("revenue", "region", "delivery_delay_days", "order_date")
