@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.functions.numeric import as_double, half_even, is_missing
+from dataprobe.functions.numeric import half_even, is_missing
 from dataprobe.operators.joining import with_stats
 
 AGGREGATIONS: dict[str, Callable[[Column], Column]] = {

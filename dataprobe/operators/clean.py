@@ -9,9 +9,9 @@ from dataprobe.functions.numeric import as_double, sample_skewness
 from dataprobe.operators.aggregates import modes
 from dataprobe.operators.ordering import fill_both_ways
 from dataprobe.operators.profile import profile
-from dataprobe.operators.quality import fences, outlier_counts
+from dataprobe.operators.quality import fences
 from dataprobe.operators.quantiles import median_row, quantile_row
-from dataprobe.operators.shape import parse_timestamp, safe_name, sanitise_columns
+from dataprobe.operators.shape import parse_timestamp, sanitise_columns
 from dataprobe.scratch import materialise
 from dataprobe.sources.sinks import write_parquet
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataprobe.functions.formatting import title_case, title_text
+from dataprobe.functions.formatting import title_text
 from dataprobe.functions.ladders import ladder
 from dataprobe.functions.numeric import as_double, half_even
 from dataprobe.operators import metrics

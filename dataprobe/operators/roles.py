@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from dataprobe.operators.shape import TEMPORAL, columns_of
 

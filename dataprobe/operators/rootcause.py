@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from dataprobe.functions.formatting import format_metric, title_case, title_text
 from dataprobe.functions.numeric import as_double, half_even, pct_change, ratio
 from dataprobe.operators import metrics, models
-from dataprobe.operators.aggregates import value_counts_by_column
 from dataprobe.operators.ordering import row_index
 from dataprobe.operators.shape import columns_of, high_low_bins, tag_period
 from dataprobe.scratch import materialise, spread

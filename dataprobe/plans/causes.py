@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dataprobe.functions.numeric import half_even
 from dataprobe.operators import report, rootcause
 from dataprobe.plans.business import LEDGER, ledger
 from dataprobe.plans.inputs import SALES_PLANTED, sales_planted

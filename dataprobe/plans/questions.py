@@ -8,7 +8,7 @@ from dataprobe.operators import ask, intent, retrieval, sqlsurface
 from dataprobe.operators.profile import profile
 from dataprobe.plans.inputs import QUESTIONS, SALES, STATEMENTS, question_log, sales, statement_log
 from dataprobe.plans.profiling import facts_sql
-from dataprobe.plans.registry import query, table
+from dataprobe.plans.registry import query
 from dataprobe.scratch import materialise
 from dataprobe.sources.readers import register_view
 
