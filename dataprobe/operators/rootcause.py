@@ -269,7 +269,7 @@ def investigate(
     """All parts of a period investigation over one written, tagged table."""
     tagged = with_periods(df, ts, order_by, start, end)
     totals = materialise(period_totals(tagged, ts, metric), "totals")
-    dims = usable_dimensions(df) if dims is None else dims
+    dims = usable_dimensions(tagged) if dims is None else dims
     items = decompose(tagged, totals, metric, dims) if dims else numeric_fallback(tagged, totals, metric)
     items = materialise(items, "items")
     driver = top_driver(items)
