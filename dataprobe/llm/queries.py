@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataprobe.llm import decontam
+from dataprobe.llm import decontam, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,3 +28,9 @@ FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 def op3_decontaminate(spark, sf_dir):
     """Hit words and items of every document against every benchmark item."""
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_sentence_spans")
+def op9_sentence_spans(spark, sf_dir):
+    """Every document without the sentences of repeated runs."""
+    return sentencespans.remove_repeats(table(spark, sf_dir, "documents"))

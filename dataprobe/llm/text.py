@@ -64,10 +64,11 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 class Hashed:
     """The words of several texts: ``h`` their hashes in order, ``doc`` the text of each, ``first`` the index of
-    each text's first word (one more entry than texts), ``start``/``end`` byte places in ``raw``."""
+    each text's first word (one more entry than texts), ``start``/``end`` byte places in ``src``, ``at`` where each text begins there."""
 
     def __init__(self, raws: list[bytes], table: bytes = WORD_BYTES):
-        self.raw = b" ".join(raws).translate(table)
+        self.src = b" ".join(raws)
+        self.raw = self.src.translate(table)
         a = np.frombuffer(self.raw, dtype=np.uint8)
         inside = a != 32
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0) if len(a) else np.zeros(1, np.int8)
@@ -81,6 +82,14 @@ class Hashed:
         h = (total[self.end] - total[self.start]) * _power("down", _INVERSE, len(a) + 1)[self.start]
         self.h = mix(h ^ (self.end - self.start).astype(np.uint64))
 
+    def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the words lo <= i < hi, whatever their number, from sums that run over all words."""
+        n = len(self.h)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        if n:
+            np.cumsum(self.h * _power("gram", int(GRAM_BASE), n), out=total[1:])
+        return mix((total[hi] - total[lo]) * _power("gram-down", pow(int(GRAM_BASE), -1, 1 << 64), n + 1)[lo] + (hi - lo).astype(np.uint64))
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``k`` words, by the index of the first word, and which stay inside one text."""
         n = len(self.h) - k + 1
