@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataprobe.llm import decontam, sentencespans
+import public_tokenizers
+
+from dataprobe.llm import decontam, packing, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,3 +36,10 @@ def op3_decontaminate(spark, sf_dir):
 def op9_sentence_spans(spark, sf_dir):
     """Every document without the sentences of repeated runs."""
     return sentencespans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pack")
+def op8_pack(spark, sf_dir):
+    """Every piece of every document with its place in a sequence of 4096 tokens."""
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
