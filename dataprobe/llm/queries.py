@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, packing, sentencespans
+from dataprobe.llm import decontam, nearcopies, packing, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,3 +43,9 @@ def op8_pack(spark, sf_dir):
     """Every piece of every document with its place in a sequence of 4096 tokens."""
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op2_near_copies")
+def op2_near_copies(spark, sf_dir):
+    """The near-duplicate class of every document."""
+    return nearcopies.near_copies(table(spark, sf_dir, "documents")).drop("_key")
