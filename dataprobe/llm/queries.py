@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, nearcopies, packing, sentencespans
+from dataprobe.llm import decontam, linealign, nearcopies, packing, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,3 +49,9 @@ def op8_pack(spark, sf_dir):
 def op2_near_copies(spark, sf_dir):
     """The near-duplicate class of every document."""
     return nearcopies.near_copies(table(spark, sf_dir, "documents")).drop("_key")
+
+
+@query("op1_line_alignment")
+def op1_line_alignment(spark, sf_dir):
+    """Every document without the line blocks that earlier documents hold."""
+    return linealign.remove_overlaps(table(spark, sf_dir, "documents")).drop("_key")
