@@ -176,6 +176,7 @@ def digest(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     id_col, text_col = kw.get("doc_id", "doc_id"), kw.get("text", "text")
-    bad = contamination(docs, items, **kw).filter("contaminated").select("doc_id", "_key").distinct()
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["doc_id"]) & (key == bad["_key"]), "left_anti")
+    bad = contamination(docs, items, **kw).filter("contaminated").select(F.col("doc_id").alias("_i"), "_key").distinct()
+    ident = F.col(f"`{id_col}`")
+    tagged = docs.withColumn("_k", F.xxhash64(ident, F.col(f"`{text_col}`").cast("string")))
+    return tagged.join(bad, ident.eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")

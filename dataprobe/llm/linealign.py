@@ -140,7 +140,8 @@ def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     """One row per pair: doc_id, _key (the later), source, source_key (the earlier document), blocks (array of first and
     last line among the later document's lines that are not blank)."""
     lines = materialise(line_table(keyed(docs, doc_id, text)), "lines")
-    known = lines.groupBy("line").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first")
+    # written, so that the join shuffles both sides and Spark can split the rows of a hot line
+    known = materialise(lines.groupBy("line").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first"), "known")
     held = materialise(lines.join(known, "line").select("doc_id", "_key", "line", "places", "words", F.col("first.doc_id").alias("source"), F.col("first._key").alias("source_key")), "held")
     later = ~(F.col("doc_id").eqNullSafe(F.col("source")) & (F.col("_key") == F.col("source_key")))
     # a document has at most as many partners as lines; its lines meet each of them once
@@ -160,6 +161,25 @@ def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     return shared.mapInArrow(scan, f"doc_id {kind}, _key long, source {kind}, source_key long, blocks array<struct<first:int,last:int>>").filter("size(blocks) > 0")
 
 
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: str | None = None, **kw) -> DataFrame:
+    """All rows and columns of ``docs`` with the text that stays; ``length`` names a column that holds the text's
+    number of characters, set anew."""
+    found = overlaps(docs, doc_id=doc_id, text=text, **kw)
+    gone = found.groupBy(F.col("doc_id").alias("_i"), "_key").agg(F.flatten(F.collect_list("blocks")).alias("_gone"))
+    ident, raw = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    both = docs.withColumn("_k", F.xxhash64(ident, raw)).join(gone, ident.eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_key")), "left").select(*[f"`{c}`" for c in docs.columns], "_gone")
+    at = docs.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns[:-1])
+            cols[at] = pa.array([t if g is None else _without(encode(t), g)[0].decode("utf-8", "surrogatepass") for t, g in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+
+    out = both.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return out.withColumn(length, F.length(f"`{text}`").cast(docs.schema[length].dataType)) if length else out
+
+
 def _without(raw: bytes, gone: list | None) -> tuple[bytes, int, int]:
     """(text without the blocks, lines that are not blank, how many of them went)."""
     places = [i for i, _ in _lines(raw)]

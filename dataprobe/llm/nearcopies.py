@@ -213,8 +213,9 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     base = keyed(docs, doc_id, text)
     rows = materialise(_nodes(base, shingle, sketches, kept), "sketches")
     buckets = rows.groupBy("node").agg(F.first("sketches").alias("s")).select("node", F.explode("s").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = materialise(buckets.join(several.select("bucket", "hub"), "bucket"), "buckets")
+    # written, so that the join shuffles both sides and Spark can split the rows of a hot bucket
+    several = materialise(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub"), "hubs")
+    members = materialise(buckets.join(several, "bucket"), "buckets")
     reps = rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "_key")).alias("r")).select("node", "r.doc_id", "r._key")
     sequences = materialise(_sequences(base.join(reps, same_row(base, reps)).dropDuplicates(["node"])), "sequences")
     edges = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, linealign, nearcopies, packing, sentencespans
+from dataprobe.llm import decontam, linealign, nearcopies, packing, quality, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,3 +55,9 @@ def op2_near_copies(spark, sf_dir):
 def op1_line_alignment(spark, sf_dir):
     """Every document without the line blocks that earlier documents hold."""
     return linealign.remove_overlaps(table(spark, sf_dir, "documents")).drop("_key")
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    """Document, prior and posterior probability of every document being good."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
