@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, linealign, nearcopies, packing, quality, sentencespans
+from dataprobe.llm import decontam, licenses, linealign, nearcopies, packing, quality, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -61,3 +61,29 @@ def op1_line_alignment(spark, sf_dir):
 def op4_quality(spark, sf_dir):
     """Document, prior and posterior probability of every document being good."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op5_sql() -> str:
+    texts = ", ".join(f"('{label}', '{t}')" for label, t in licenses.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in licenses.PHRASES)
+    return f"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS ws FROM documents),
+p AS (SELECT * FROM (VALUES {phrases}) v(label, pw)),
+place AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) JOIN p ON ws[i] = pw[1] AND ws[i : i + len(pw) - 1] = pw),
+base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z FROM place GROUP BY doc_id),
+t AS (SELECT label, list_distinct({_WORDS}) AS tw FROM (VALUES {texts}) v(label, text)),
+l AS (SELECT doc_id, list_distinct({_WORDS}) AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)),
+met AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS share FROM l, t WHERE len(list_intersect(lw, tw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
+best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+  coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels, coalesce(share, 0.0) AS score
+FROM d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN bl ON d.doc_id = bl.doc_id LEFT JOIN al ON d.doc_id = al.doc_id
+"""
+
+
+@query("op5_licenses", _op5_sql())
+def op5_licenses(spark, sf_dir):
+    """License phrases and notices of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
