@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, licenses, linealign, nearcopies, packing, quality, sentencespans
+from dataprobe.llm import decontam, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,3 +87,9 @@ FROM d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN best ON d.doc_id = bes
 def op5_licenses(spark, sf_dir):
     """License phrases and notices of every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+@query("op7_line_rules")
+def op7_line_rules(spark, sf_dir):
+    """Counts and verdict of every document."""
+    return linerules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("line_labels")
