@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
+from dataprobe.llm import decontam, htmltext, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,3 +93,9 @@ def op5_licenses(spark, sf_dir):
 def op7_line_rules(spark, sf_dir):
     """Counts and verdict of every document."""
     return linerules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("line_labels")
+
+
+@query("op10_page_text")
+def op10_page_text(spark, sf_dir):
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
