@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, htmltext, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
+from dataprobe.llm import decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,3 +99,9 @@ def op7_line_rules(spark, sf_dir):
 def op10_page_text(spark, sf_dir):
     """The main text of every page."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_katz_scores")
+def op6_katz_scores(spark, sf_dir):
+    """Base and model score of every document."""
+    return katz.score(table(spark, sf_dir, "documents"))
