@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.operators.quantiles import quantile_row
@@ -30,12 +30,17 @@ def mean_path(n) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def _known(c: str) -> Column:
+    """A feature as the trees see it: missing values and NaN are 0, when grown as when scored."""
+    return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+
 def subsamples(df: DataFrame, features: list[str], key: list[str], rows: int, trees: int, sample: int, seed: int) -> DataFrame:
     """``tree`` and the features of at most ``sample`` rows per tree."""
     keep = min(1.0, 1.5 * sample / max(rows, 1) + 40 / max(rows, 1))
     place = lambda t: F.pmod(F.xxhash64(*key, t, F.lit(seed)), F.lit(_BUCKETS))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < int(keep * _BUCKETS))
-    picked = df.select(*key, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.explode(chosen).alias("tree"))
+    picked = df.select(*key, *[_known(c).alias(f"x{i}") for i, c in enumerate(features)], F.explode(chosen).alias("tree"))
     order = Window.partitionBy("tree").orderBy(place(F.col("tree")), *key)
     ranked = picked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
     return ranked.select("tree", *[f"x{i}" for i in range(len(features))])
@@ -89,7 +94,7 @@ def score(df: DataFrame, features: list[str], nodes: DataFrame, size: int) -> Da
             order = np.argsort(ids)
             trees.append((ids[order], feature[order], cut[order], path[order]))
         for pdf in batches:
-            x = pdf[names].fillna(0).to_numpy(float)
+            x = pdf[names].astype(float).fillna(0).to_numpy()
             total = np.zeros(len(x))
             for ids, feature, cut, path in trees:
                 at = np.zeros(len(x), dtype=np.int64)

@@ -57,18 +57,21 @@ CHART_WORDS = (
 CHART_TYPES = {
     "pie": ("pie", "donut", "doughnut"),
     "scatter": ("scatter",),
-    "line": ("line", "trend", "timeline", "over time"),
+    "line": ("line", "trend", "timeline", "over time", "run chart"),
     "bar": ("bar", "column"),
 }
 TEMPORAL_PARTS = ("date", "time", "day", "month", "year")
 GREETINGS = ("hello", "hi", "hey", "help", "who are you", "what can you do")
 VOCABULARY = (
-    "top bottom highest lowest best worst most least average avg mean median sum total count number max min breakdown "
-    "distribution trend correlation ranking rank ranks percentage percent rate ratio chart graph plot bar pie line scatter "
-    "table outlier anomaly records record rows row data dataset metric column feature driver summary explain show give list "
-    "compare performance pattern sale sales revenue profit cost price product item customer client buyer user order state "
-    "region city country category department segment discount quantity volume unit units delay time date"
-).split()
+    "top", "bottom", "highest", "lowest", "best", "worst", "most", "least", "average", "avg", "mean", "median", "sum",
+    "total", "count", "number", "max", "min", "breakdown", "distribution", "trend", "correlation", "ranking", "rank",
+    "ranks", "percentage", "percent", "rate", "ratio", "chart", "graph", "plot", "bar", "pie", "line", "scatter",
+    "table", "outlier", "anomaly", "records", "record", "rows", "row", "data", "dataset", "metric", "column",
+    "feature", "driver", "summary", "explain", "show", "give", "list", "compare", "performance", "pattern", "sale",
+    "sales", "revenue", "profit", "cost", "price", "product", "item", "customer", "client", "buyer", "user", "order",
+    "state", "region", "city", "country", "category", "department", "segment", "discount", "quantity", "volume",
+    "unit", "units", "delay", "time", "date",
+)
 MAX_LIMIT, DEFAULT_LIMIT = 50, 10
 
 

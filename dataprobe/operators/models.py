@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -27,11 +28,14 @@ POSITIVE_WORDS = ("yes", "1", "true", "churn", "positive", "cancelled", "risk",
 ID_PARTS = ("id", "uuid", "code", "postal", "zip", "index", "unnamed", "row")
 
 
-CLASS_BROADCAST = 10_000
-
-
 def is_id_like(name: str, parts: tuple[str, ...] = ID_PARTS) -> bool:
-    return any(p in name.lower() for p in parts)
+    """Whether a part of the name (between signs, digits or capitals) is one of ``parts``, or ends in ``id`` or ``uuid``
+    written together with a word that names a thing, as in ``customerid``.
+
+    Looking for the letters anywhere would take ``width``, ``paid_amount`` and ``incident_type`` for identifiers.
+    """
+    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+    return any(w in parts for w in words) or bool("id" in parts and re.search(r"(key|customer|client|user|order|product|item|account|patient|employee|student|record|session|transaction|store)id$", name.lower()))
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:
@@ -56,6 +60,12 @@ def category_levels(df: DataFrame, columns: list[str], max_levels: int = 50, fil
     return {c: sorted(v) for c, v in levels.items() if len(v) <= max_levels}
 
 
+def class_levels(df: DataFrame, column: str) -> list[str]:
+    """Sorted classes of a target, however many: a model holds a table per class anyway."""
+    value = F.col(column).cast("string").alias("v")
+    return [r["v"] for r in df.select(value).na.drop().distinct().orderBy("v").collect()]
+
+
 def _text(c: str, fill: str | None) -> Column:
     t = F.col(c).cast("string")
     return t if fill is None else F.coalesce(t, F.lit(fill))
@@ -202,8 +212,6 @@ def stratified_split(df: DataFrame, label: str, key: list[str], test_share: floa
     hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
     indexed = row_index(hashed, [label, "_h", *key], "_row")
     sizes = indexed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    if sizes.limit(CLASS_BROADCAST + 1).count() <= CLASS_BROADCAST:
-        sizes = F.broadcast(sizes)
     cut = F.ceil(F.col("_n") * F.lit(test_share))
     joined = indexed.join(sizes, label)
     return joined.withColumn("is_test", F.col("_row") - F.col("_first") < cut).select(*df.columns, "is_test")
@@ -297,8 +305,7 @@ def target_drivers(
         raise ValueError("no numeric features")
     classify = is_classification(rows, target)
     if classify:
-        levels = category_levels(rows, [target], max_levels=100)
-        y = code_expr(target, levels[target]).cast("double") if target in levels else as_double(target)
+        y = code_expr(target, class_levels(rows, target)).cast("double")
     else:
         y = F.coalesce(as_double(target), F.lit(0.0))
     keep = [y.alias("label"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")]

@@ -54,16 +54,6 @@ def running_total(df: DataFrame, order_by: list[Column | str], columns: list[str
     )
 
 
-ONE_TASK_ROWS = 1_000_000
-
-
-def position(df: DataFrame, order_by: list[Column], name: str, rows: int) -> DataFrame:
-    """Like ``row_index`` for a table of known size: a plain window while it fits one task."""
-    if rows <= ONE_TASK_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)).cast("long"))
-    return row_index(df, order_by, name)
-
-
 def fill_both_ways(df: DataFrame, columns: list[str], order_by: list[Column | str]) -> DataFrame:
     """Forward fill, then backward fill what is left, in key order over the whole table.
 
@@ -112,8 +102,7 @@ def last_n(df: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def top_k(df: DataFrame, value: str, label: str, k: int, ascending: bool = False) -> DataFrame:
-    """Top or bottom ``k`` rows by value, nulls last, ties by label; ``k`` is held to 1..50."""
-    k = min(50, max(1, k))
+    """Top or bottom ``k`` rows by value, nulls last, ties by label."""
     v = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
     return df.orderBy(v, F.col(label).asc_nulls_last()).limit(k)
 

@@ -39,10 +39,9 @@ def executive_report(
     target = target or best_target(profiles) or roles.root_cause_target(base)
     ts = ts or roles.date_column(base)
     out = {"quality": quality, "profiles": profiles, "kpis": kpi.kpi_table_by_role(base, ts)}
-    if ts and models.is_numeric(base, target):
-        cause = rootcause.investigate(base, target, ts, order_by, start, end)
-        out |= {f"root_cause_{k}": v for k, v in cause.items()}
-        out["findings"] = findings(name, len(df.columns), quality, cause["narrative"])
+    cause = rootcause.explain(base, target, order_by, ts, start, end)
+    out |= {f"root_cause_{k}": v for k, v in cause.items()}
+    out["findings"] = findings(name, len(df.columns), quality, cause["narrative"])
     if with_models:
         out["drivers"], out["driver_scores"] = models.target_drivers(base, target, key=order_by)
     out |= {f"chart_{k}": v for k, v in charts.automatic(base, order_by).items()}

@@ -130,19 +130,15 @@ def chunk_tokens(chunks: DataFrame) -> DataFrame:
     return keys.unionByName(text).groupBy("place", "token").agg(F.sum("w").alias("weight"))
 
 
-TOKEN_BROADCAST_ROWS = 200_000
-
-
 def retrieve(questions: DataFrame, chunks: DataFrame, key: list[str], text: str = "question", top_k: int = 4, fallback: int = 3) -> DataFrame:
     """``key..., rank, chunk_id, score``: the best chunks of each question, the first three when none matches.
 
-    Chunks describe columns, so their words normally fit a broadcast, which keeps common words from piling
-    up in one task; the size is checked, and a larger set is joined by shuffle.
+    Chunks of a table's columns are few, and the planner broadcasts them by their size; a larger set is joined by
+    shuffle, where Spark splits the rows of a very common word.
     """
     tokens = chunk_tokens(chunks)
-    small = tokens.limit(TOKEN_BROADCAST_ROWS + 1).count() <= TOKEN_BROADCAST_ROWS
     asked = questions.select(*key, F.explode(question_tokens(F.col(text))).alias("token"))
-    scores = asked.join(F.broadcast(tokens) if small else tokens, "token").groupBy(*key, "place").agg(F.sum("weight").alias("score"))
+    scores = asked.join(tokens, "token").groupBy(*key, "place").agg(F.sum("weight").alias("score"))
     best = ranked_within(scores, key, [F.col("score").desc(), F.col("place")], top_k)
     unmatched = questions.select(*key).join(best.select(*key).distinct(), key, "left_anti")
     first = chunks.orderBy("place").limit(fallback).agg(F.array_sort(F.collect_list("place")).alias("_f"))
@@ -150,7 +146,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, key: list[str], text: str
     default = default.select(*key, "place", F.lit(0).cast("long").alias("score"), (F.col("_i") + 1).alias("rank"))
     both = best.select(*key, "place", "score", "rank").unionByName(default)
     ids = chunks.select("place", "chunk_id")
-    return both.join(F.broadcast(ids) if small else ids, "place").select(*key, "rank", "chunk_id", "score")
+    return both.join(ids, "place").select(*key, "rank", "chunk_id", "score")
 
 
 def suggested_questions(profiles: DataFrame, domain: str = "generic", limit: int = 7) -> DataFrame:

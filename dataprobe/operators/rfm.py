@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.numeric import half_even, to_number, whole_days_between
-from dataprobe.operators.ordering import position, quantile_bin
+from dataprobe.operators.ordering import row_index, quantile_bin
 from dataprobe.scratch import materialise
 
 # fixed values: tier names, top quartile first
@@ -63,7 +63,7 @@ def rfm_scores(base: DataFrame) -> DataFrame:
     q = min(4, max(2, n))
     out = base
     for name in ("recency", "frequency", "monetary"):
-        out = position(out, [F.col(name).asc_nulls_last(), F.col("entity").asc()], f"_p_{name}", n)
+        out = row_index(out, [F.col(name).asc_nulls_last(), F.col("entity").asc()], f"_p_{name}")
     bin_ = lambda c, k: quantile_bin(F.col(f"_p_{c}"), F.lit(n), k)
     out = out.select(
         "entity", "recency", "frequency", "monetary", "has_dates",

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.formatting import format_metric, title_case, title_text
 from dataprobe.functions.numeric import as_double, half_even, pct_change, ratio
 from dataprobe.operators import metrics, models
 from dataprobe.operators.ordering import row_index
-from dataprobe.operators.shape import columns_of, high_low_bins, tag_period
+from dataprobe.operators.shape import columns_of, daily_dates_by_position, high_low_bins, parse_timestamp, tag_period
 from dataprobe.scratch import materialise, spread
 
 ID_PARTS = ("id", "uuid", "code")
+DATE_PARTS = ("date", "time", "year")
 FEATURE_ID_PARTS = ("id", "uuid", "code", "name", "unnamed")
 
 
@@ -66,9 +67,9 @@ def period_totals(tagged: DataFrame, ts: str, metric: str) -> DataFrame:
     return row.withColumn("delta", b - a).withColumn("pct_change", pct_change(a, b))
 
 
-def usable_dimensions(df: DataFrame, limit: int = 3, least: int = 2, most: int = 30) -> list[str]:
-    """Of the first ``limit`` text columns that are no ids, those with 2 to 30 distinct values."""
-    dims = [c for c in columns_of(df, "string") if not models.is_id_like(c, ID_PARTS)][:limit]
+def usable_dimensions(df: DataFrame, least: int = 2, most: int = 30) -> list[str]:
+    """All text columns that are no ids and have 2 to 30 distinct values."""
+    dims = [c for c in columns_of(df, "string") if not models.is_id_like(c, ID_PARTS)]
     if not dims:
         return []
     levels = models.category_levels(df, dims, most)
@@ -91,10 +92,11 @@ def decompose(tagged: DataFrame, totals: DataFrame, metric: str, dims: list[str]
     a, b = F.col("p1_daily"), F.col("p2_daily")
     d = d.withColumn("delta", b - a)
     pct = half_even((b - a) / F.when(a == 0, 1.0).otherwise(a) * 100, 1)
-    # at most 30 items per dimension
-    falls = F.sum(F.when(F.col("delta") < 0, F.col("delta"))).over(Window.partitionBy("dimension"))
+    declines = d.groupBy("dimension").agg(F.sum(F.when(F.col("delta") < 0, F.col("delta"))).alias("_falls"))
+    d = d.join(declines, "dimension")
+    falls = F.col("_falls")
     share = F.when((F.col("delta") < 0) & (falls < 0), half_even(F.col("delta") / falls * 100, 1)).otherwise(0.0)
-    return d.withColumn("pct_change", pct).withColumn("contribution", share)
+    return d.withColumn("pct_change", pct).withColumn("contribution", share).drop("_falls")
 
 
 def top_driver(items: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def narrative(totals: DataFrame, driver: DataFrame, metric: str) -> DataFrame:
 # -------------------------------------------------------------------- drivers
 
 def _features(df: DataFrame, target: str, extra: tuple[str, ...] = ()) -> list[str]:
-    return [c for c in df.columns if c != target and not models.is_id_like(c, FEATURE_ID_PARTS + extra)]
+    return [c for c in df.columns if c != target and not c.startswith(extra or ("\0",)) and not models.is_id_like(c, FEATURE_ID_PARTS)]
 
 
 def _relation(r: Column) -> Column:
@@ -168,13 +170,15 @@ def _relation(r: Column) -> Column:
     )
 
 
-def regression_drivers(df: DataFrame, metric: str, *, trees: int = 50, depth: int = 5, top: int = 5, seed: int = 42) -> DataFrame:
+def regression_drivers(
+    df: DataFrame, metric: str, *, trees: int = 50, depth: int = 5, top: int = 5, seed: int = 42, key: list[str] | None = None
+) -> DataFrame:
     """Top features of a forest for the metric with correlation and wording."""
     features = _features(df, metric, ("_dt", "in_p"))
     y = F.coalesce(as_double(metric), F.lit(0.0))
     frame, used = models.feature_frame(df, features, [y.alias("label")], max_levels=30)
     if not used:
-        frame, used = _record_index(df, y)
+        frame, used = _record_index(df, y, key)
     vec = models.assemble(spread(materialise(frame, "rootcause")), used)
     rf = RandomForestRegressor(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all"
@@ -191,17 +195,19 @@ def regression_drivers(df: DataFrame, metric: str, *, trees: int = 50, depth: in
     return best.withColumn("correlation", half_even(r, 2)).withColumn("relation", _relation(r)).drop("r")
 
 
-def _record_index(df: DataFrame, label: Column) -> tuple[DataFrame, list[str]]:
-    """Position as the only feature when nothing else remains."""
-    return df.select(label.alias("label"), F.monotonically_increasing_id().cast("double").alias("x_record_index")), ["record_index"]
+def _record_index(df: DataFrame, label: Column, key: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The position in key order (all columns unless given) as the only feature when nothing else remains."""
+    rows = df.withColumn("_label", label)
+    return row_index(rows, key or df.columns, "_row").select(F.col("_label").alias("label"), F.col("_row").cast("double").alias("x_record_index")), ["record_index"]
 
 
 def positive_class(df: DataFrame, target: str) -> str:
-    """The second value in order (of up to 100), or the only one."""
-    values = models.category_levels(df.select(target), [target], 100).get(target)
+    """The second value in order, or the only one."""
+    value = F.col(target).cast("string").alias("v")
+    values = [r["v"] for r in df.select(value).na.drop().distinct().orderBy("v").limit(2).collect()]
     if not values:
-        raise ValueError(f"{target} has no classes or too many")
-    return values[1] if len(values) > 1 else values[0]
+        raise ValueError(f"{target} has no classes")
+    return values[-1]
 
 
 def incidence(df: DataFrame, target: str, positive: str | None = None) -> DataFrame:
@@ -244,16 +250,15 @@ def incidence_by(df: DataFrame, target: str, positive: str, dims: list[str]) ->
 
 
 def classifier(
-    df: DataFrame, target: str, *, trees: int = 60, depth: int = 6, top: int = 5, seed: int = 42
+    df: DataFrame, target: str, *, trees: int = 60, depth: int = 6, top: int = 5, seed: int = 42, key: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """True in-sample metrics of a forest for the class, and its top features."""
     rows = df.filter(F.col(target).isNotNull())
-    levels = models.category_levels(rows, [target], 100)[target]
-    frame, used = models.feature_frame(
-        rows, _features(rows, target), [models.code_expr(target, levels).cast("double").alias("label")], max_levels=30
-    )
+    levels = models.class_levels(rows, target)
+    code = models.code_expr(target, levels).cast("double")
+    frame, used = models.feature_frame(rows, _features(rows, target), [code.alias("label")], max_levels=30)
     if not used:
-        frame, used = _record_index(rows, models.code_expr(target, levels).cast("double"))
+        frame, used = _record_index(rows, code, key)
     vec = models.assemble(spread(materialise(frame, "classifier")), used)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     model = rf.fit(vec)
@@ -263,6 +268,71 @@ def classifier(
     return score, best
 
 
+def resolve_dates(df: DataFrame, ts: str | None, order_by: list[str], anchor: str = "2024-01-01", out: str = "resolved_date") -> DataFrame:
+    """Add ``out``: the given column if more than 30 % of it parses as dates, else the first column whose name speaks
+    of dates and does, else one day per row in key order from ``anchor`` on."""
+    named = [c for c in df.columns if c != ts and contains_part(c, DATE_PARTS)]
+    tries = [c for c in [ts, *named] if c in df.columns]
+    if tries:
+        share = df.agg(*[F.avg(_as_time(df, c).isNotNull().cast("int")).alias(f"s{i}") for i, c in enumerate(tries)]).first()
+        for i, c in enumerate(tries):
+            if (share[i] or 0) > 0.3:
+                return df.withColumn(out, _as_time(df, c))
+    return daily_dates_by_position(df, order_by, anchor, out)
+
+
+def contains_part(name: str, parts: tuple[str, ...]) -> bool:
+    return any(p in name.lower() for p in parts)
+
+
+def _as_time(df: DataFrame, c: str) -> Column:
+    kind = df.schema[c].dataType.typeName()
+    return F.col(c) if kind in ("date", "timestamp", "timestamp_ntz") else parse_timestamp(c) if kind == "string" else F.lit(None).cast("timestamp")
+
+
+def class_dimensions(df: DataFrame, target: str, most: int = 10) -> list[str]:
+    """Usable text columns, and numbers that take at most ten values."""
+    texts = [c for c in usable_dimensions(df) if c != target]
+    numbers = [c for c in columns_of(df, "numeric") if c != target and not models.is_id_like(c, ID_PARTS)]
+    return texts + [c for c in numbers if models.few_values(df, c, most) is not None]
+
+
+def class_narrative(target: str, rate: DataFrame, contrast: DataFrame, by: DataFrame | None) -> DataFrame:
+    """``what_happened, why_it_happened`` of a class target: its rate, the number that differs most, and the value with
+    the highest rate."""
+    title = title_text(target)
+    first = contrast.orderBy(F.abs("difference_percent").desc_nulls_last(), "feature").limit(1).select(title_case(F.col("feature")).alias("_f"), F.col("difference_percent").alias("_d"))
+    row = rate.join(F.broadcast(first), F.lit(True), "left")
+    why = F.when(F.col("_f").isNull(), F.lit("No number differs")).otherwise(F.concat(F.col("_f"), F.format_string(" differs by %+.1f%%", "_d")))
+    why = F.concat(F.lit(f"{title} = "), F.col("positive_class"), F.lit(": "), why)
+    if by is not None:
+        top = by.orderBy(F.col("rate").desc(), "dimension", "item").limit(1).select(F.col("item").alias("_i"), title_case(F.col("dimension")).alias("_dim"), F.col("rate").alias("_r"))
+        row = row.join(F.broadcast(top), F.lit(True), "left")
+        why = F.concat(why, F.coalesce(F.concat(F.lit(", highest rate in '"), F.col("_i"), F.lit("' of "), F.col("_dim"), F.format_string(" (%.1f%%)", "_r")), F.lit("")))
+    what = F.concat(F.lit(f"{title} outcome rate is "), F.format_string("%.1f%%", "rate"), F.lit(" across "), F.format_number("rows", 0), F.lit(" records."))
+    return row.select(what.alias("what_happened"), F.concat(why, F.lit(".")).alias("why_it_happened"))
+
+
+def explain(df: DataFrame, target: str, order_by: list[str], ts: str | None = None, start=None, end=None, *, with_models: bool = False) -> dict[str, DataFrame]:
+    """The investigation that fits the target: of periods for numbers, of classes for texts and numbers of few values."""
+    if models.is_numeric(df, target) and not models.is_classification(df, target):
+        dated = resolve_dates(df, ts, order_by)
+        return investigate(dated, target, "resolved_date", order_by, start, end)
+    base = materialise(df.filter(F.col(target).isNotNull()), "classes")
+    positive = positive_class(base, target)
+    rate = incidence(base, target, positive)
+    numbers = [c for c in columns_of(base, "numeric") if c != target and not models.is_id_like(c, ID_PARTS)]
+    contrast = class_contrast(base, target, positive, numbers) if numbers else base.sparkSession.createDataFrame([], "feature string, difference_percent double")
+    dims = class_dimensions(base, target)
+    out = {"incidence": rate, "contrast": contrast}
+    if dims:
+        out["by_dimension"] = materialise(incidence_by(base, target, positive, dims), "by-dimension")
+    out["narrative"] = class_narrative(target, rate, contrast, out.get("by_dimension"))
+    if with_models:
+        out["model"], out["features"] = classifier(base, target, key=order_by)
+    return out
+
+
 def investigate(
     df: DataFrame, metric: str, ts: str, order_by: list[str], start=None, end=None, dims: list[str] | None = None
 ) -> dict[str, DataFrame]:
@@ -273,7 +343,7 @@ def investigate(
     items = decompose(tagged, totals, metric, dims) if dims else numeric_fallback(tagged, totals, metric)
     items = materialise(items, "items")
     driver = top_driver(items)
-    others = [c for c in columns_of(df, "numeric") if c != metric and not models.is_id_like(c, ("id", "uuid", "unnamed"))][:4]
+    others = [c for c in columns_of(df, "numeric") if c != metric and not models.is_id_like(c, ("id", "uuid", "unnamed"))]
     out = {"totals": totals, "items": items, "top_driver": driver, "narrative": narrative(totals, driver, metric)}
     if others:
         out["shifts"] = shifts(tagged, others)

@@ -49,16 +49,29 @@ def select_kind(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*columns_of(df, kind))
 
 
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy",
+#: the day part of a text by how it begins; slashes are month first, day first only where that is no date
+DATE_SHAPES = (
+    (r"^\d{4}", ("y/M/d", "y-M-d")),
+    (r"^\d{1,2}/", ("M/d/y", "d/M/y")),
+    (r"^\d{1,2}-\d", ("d-M-y",)),
+    (r"^\d{1,2}[- ][A-Za-z]", ("d-MMM-y", "d MMM y", "d MMMM y")),
+    (r"^[A-Za-z]{3}", ("MMM d, y", "MMMM d, y", "MMM d y")),
 )
+TIMES = ("", " H:mm", " H:mm:ss", "'T'H:mm:ss", " h:mm a")
 
 
 def parse_timestamp(c: Column | str) -> Column:
-    """Timestamp from common text forms, null where none fits."""
-    c = col(c)
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(c.try_cast("timestamp"), *tries)
+    """Timestamp from common text forms, null where none fits.
+
+    Year first, ``1/31/2024`` (month first; day first if the month would be over 12), ``31-1-2024``, ``31-Jan-2024``,
+    ``Jan 31, 2024``, each also with a time of day. A text is tried only with the forms it begins like.
+    """
+    c = F.trim(col(c).cast("string"))
+    out = c.try_cast("timestamp")
+    for begin, days in DATE_SHAPES:
+        tries = [F.try_to_timestamp(c, F.lit(d + t)) for t in TIMES for d in days]
+        out = F.coalesce(out, F.when(c.rlike(begin), F.coalesce(*tries)))
+    return out
 
 
 def coerce_dates(df: DataFrame, column: str, min_share: float = 0.3, out: str | None = None) -> DataFrame:

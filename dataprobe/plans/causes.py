@@ -57,8 +57,8 @@ def rootcause_dimensions(spark, sf_dir):
     return _round(rootcause.decompose(t, totals, "revenue", DIMS), "p1_daily", "p2_daily", "delta")
 
 
-# the default dimensions: of the first three text columns, those with 2 to 30 values
-_DEFAULT = ["region", "nation", "segment"]
+# the default dimensions: all text columns with 2 to 30 values
+_DEFAULT = ["region", "nation", "segment", "priority"]
 
 
 @query(

@@ -120,6 +120,38 @@ def ranked_breakdown(spark, sf_dir):
     return _answers(spark, sf_dir)
 
 
+_VALUE = "CASE aggregation " + " ".join(f"WHEN '{a}' THEN CASE metric " + " ".join(f"WHEN '{m}' THEN {a}_{m}" for m in CATALOGUE.numeric) + " END" for a in ("sum", "avg", "max", "min")) + " ELSE count END"
+
+
+def _undirected(spark, sf_dir, *columns):
+    log = _intents(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in columns})
+    return ask.answer_log(sales(spark, sf_dir), log, CATALOGUE)
+
+
+@query(
+    "answer_global",
+    f"""WITH {SALES}, {INTENTS}, g AS (SELECT count(*) AS count, {_AGGS} FROM sales),
+        d AS (SELECT metric, aggregation, direction, "limit", count(*) AS asked FROM intents WHERE NOT off_topic GROUP BY ALL)
+        SELECT CAST(NULL AS VARCHAR) AS dimension, metric, aggregation, direction, "limit", CAST(1 AS INTEGER) AS rank, 'All records' AS label,
+               CAST({_VALUE} AS DOUBLE) AS value, count, asked FROM d, g""",
+)
+def answer_global(spark, sf_dir):
+    """Every question of the log as if it named no dimension."""
+    return _undirected(spark, sf_dir, "dimension")
+
+
+@query(
+    "answer_count",
+    f"""WITH {SALES}, {INTENTS}, g AS (SELECT count(*) AS count FROM sales),
+        d AS (SELECT direction, "limit", count(*) AS asked FROM intents WHERE NOT off_topic GROUP BY ALL)
+        SELECT CAST(NULL AS VARCHAR) AS dimension, CAST(NULL AS VARCHAR) AS metric, 'count' AS aggregation, direction, "limit", CAST(1 AS INTEGER) AS rank,
+               'All records' AS label, CAST(count AS DOUBLE) AS value, count, asked FROM d, g""",
+)
+def answer_count(spark, sf_dir):
+    """Every question of the log as if it named neither dimension nor metric."""
+    return _undirected(spark, sf_dir, "dimension", "metric")
+
+
 def _short(e):
     return f"CASE WHEN {e} < 0 THEN '-' || format('{{:,.2f}}', abs({e})) WHEN {e} = floor({e}) THEN format('{{:,.0f}}', {e}) ELSE format('{{:,.2f}}', {e}) END"
 
@@ -229,7 +261,7 @@ _QUIET_SQL = "''[^'']*(?:''''[^'']*)*''|\"[^\"]*(?:\"\"[^\"]*)*\"|`[^`]*`|--[^\\
     "sql_audit",
     f"""WITH {STATEMENTS}, a AS (SELECT conv_id, turn, trim(regexp_replace(statement, '[;\\s]+$', '')) AS cleaned FROM statements),
         b AS (SELECT *, regexp_replace(cleaned, '{_QUIET_SQL}', ' '''' ', 'g') AS code FROM a),
-        f AS (SELECT conv_id, turn, upper(regexp_extract(code, '^\\s*([A-Za-z_]+)', 1)) AS first_word, regexp_matches(code, ';\\s*\\S') AS is_multiple,
+        f AS (SELECT conv_id, turn, upper(regexp_extract(code, '^(?:\\s|\\(|'''')*([A-Za-z_]+)', 1)) AS first_word, regexp_matches(code, ';\\s*\\S') AS is_multiple,
                 upper(regexp_extract(code, '(?i)\\b({'|'.join(sqlsurface.FORBIDDEN)})\\b', 1)) AS forbidden_word,
                 regexp_matches(lower(cleaned), '{'|'.join(sqlsurface.SUSPICIOUS)}') AS is_suspicious, cleaned = '' AS is_empty FROM b)
         SELECT *, CASE WHEN is_empty THEN 'empty' WHEN is_multiple THEN 'multiple statements' WHEN first_word NOT IN ('SELECT', 'WITH') THEN 'not a read statement'

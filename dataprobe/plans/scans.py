@@ -97,6 +97,14 @@ def sink_json_roundtrip(spark, sf_dir):
     return _event_sums(readers.read_json(spark, path, e.schema))
 
 
+@query("sink_csv_text_roundtrip", "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT text) AS texts FROM conversations GROUP BY role")
+def sink_csv_text_roundtrip(spark, sf_dir):
+    """Texts with line breaks, quotes and separators, written and read with all that is to be detected."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    back = readers.read_csv(spark, sinks.write_csv(c, scratch_path(spark, "conversations") + ".csv"))
+    return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.count_distinct("text").alias("texts"))
+
+
 @query("sink_csv_roundtrip", EVENT_SUMS)
 def sink_csv_roundtrip(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dataprobe.operators import series, shape
 from dataprobe.operators.joining import dense_calendar
-from dataprobe.operators.ordering import fill_both_ways, position, quantile_bin
+from dataprobe.operators.ordering import fill_both_ways, row_index, quantile_bin
 from dataprobe.plans.aggregates import DAILY_ORDERS, daily_orders
 from dataprobe.plans.registry import query, table
 
@@ -54,7 +54,7 @@ def rolling_minp3(spark, sf_dir):
 def qcut_bins(spark, sf_dir):
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
     n = g.count()
-    ranked = position(g, [F.col("orders").asc(), F.col("o_custkey").asc()], "_rn", n)
+    ranked = row_index(g, [F.col("orders").asc(), F.col("o_custkey").asc()], "_rn")
     bins = [quantile_bin(F.col("_rn"), F.lit(n), q).alias(f"bin{q}") for q in (4, 3)]
     return ranked.select("o_custkey", "orders", *bins)
 

@@ -45,11 +45,7 @@ def coerce_numeric(spark, sf_dir):
 
 @query(
     "coerce_dates",
-    """WITH t AS (SELECT event_id,
-                  CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 7 = 1 THEN strftime(ts, '%m/%d/%Y')
-                       ELSE strftime(ts, '%Y-%m-%d') END AS mostly, props FROM events),
-       p AS (SELECT event_id, coalesce(try_strptime(mostly, '%Y-%m-%d'), try_strptime(mostly, '%m/%d/%Y')) AS mostly,
-                    try_strptime(props, '%Y-%m-%d') AS never FROM t),
+    """WITH p AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS mostly, try_strptime(props, '%Y-%m-%d') AS never FROM events),
        g AS (SELECT avg(CAST(mostly IS NOT NULL AS INTEGER)) > 0.3 AS ok1,
                     avg(CAST(never IS NOT NULL AS INTEGER)) > 0.3 AS ok2 FROM p)
        SELECT strftime(CASE WHEN ok1 THEN mostly END, '%Y-%m-%d') AS mostly_day, count(*) AS n,
@@ -58,13 +54,11 @@ def coerce_numeric(spark, sf_dir):
 )
 def coerce_dates(spark, sf_dir):
     k = F.col("event_id") % 7
-    e = table(spark, sf_dir, "events").select(
-        F.when(k == 0, "n/a")
-        .when(k == 1, F.date_format(F.col("ts").cast("timestamp"), "MM/dd/yyyy"))
-        .otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd"))
-        .alias("mostly"),
-        F.col("props").alias("never"),
-    )
+    forms = {1: "MM/dd/yyyy", 2: "M/d/yyyy H:mm", 3: "dd-MMM-yyyy", 4: "MMM d, yyyy", 5: "d-M-yyyy", 6: "yyyy-MM-dd"}
+    mostly = F.when(k == 0, "n/a")
+    for at, form in forms.items():
+        mostly = mostly.when(k == at, F.date_format(F.col("ts").cast("timestamp"), form))
+    e = table(spark, sf_dir, "events").select(mostly.alias("mostly"), F.col("props").alias("never"))
     parsed = shape.coerce_dates(shape.coerce_dates(e, "mostly"), "never")
     return parsed.groupBy(F.date_format("mostly", "yyyy-MM-dd").alias("mostly_day")).agg(
         F.count(F.lit(1)).alias("n"), F.count("never").alias("never_parsed")

@@ -2,13 +2,22 @@
 
 A step that must see the same rows twice (a range split followed by per-split offsets, a fitted model's
 input, a table used by several branches) is written once and read back, so that losing an executor never
-changes what the second reader sees. The folder is the one the cluster names in ``spark.checkpoint.dir``.
+changes what the second reader sees. The folder is the one named in ``spark.checkpoint.dir``; only a local session
+without that setting gets a temporary one.
+
+Written tables outlive the call, since its result is read later. ``scope`` bounds them: tables written inside are
+deleted when it ends, so results must be written or collected before.
+
+    with scope(spark):
+        clean(df).write.parquet(path)
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +28,24 @@ def _local_base() -> str:
     return tempfile.mkdtemp(prefix="dataprobe-")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside, through the file system that holds them."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one written table."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +53,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/dataprobe-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/dataprobe-{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:

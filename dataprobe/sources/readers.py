@@ -32,10 +32,15 @@ def detect_separator(header: str) -> str:
     return next((s for s in SEPARATORS if s in outside), SEPARATORS[0])
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else Latin-1."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).collect()
-    return "ISO-8859-1" if bad else "UTF-8"
+def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether fields hold line breaks), from one scan of all lines.
+
+    UTF-8 when every line is valid UTF-8, else Latin-1. A quoted field that goes on in the next line leaves an odd
+    number of quotes in its first one.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(quotes % 2 == 1).alias("broken")).first()
+    return ("ISO-8859-1" if row["bad"] else "UTF-8"), bool(row["broken"])
 
 
 def read_csv(
@@ -43,16 +48,19 @@ def read_csv(
     path: str,
     schema: T.StructType | None = None,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header. Rows with too many fields are dropped, short rows are padded with nulls.
 
-    Pass ``schema`` (and ``encoding``) on large inputs: without them the files are read once more to
-    infer each.
+    Pass ``schema``, ``encoding`` and ``multi_line`` on large inputs: without them the files are read once more to
+    infer the first, and once to find the other two. Files are split over tasks unless fields hold line breaks.
     """
     header = _first_line(spark, path)
     sep = detect_separator(header)
-    encoding = encoding or detect_encoding(spark, path)
+    if encoding is None or multi_line is None:
+        found = detect_layout(spark, path)
+        encoding = encoding or found[0]
+        multi_line = found[1] if multi_line is None else multi_line
     options = {"header": True, "sep": sep, "encoding": encoding, "multiLine": multi_line, "escape": '"'}
     if schema is None:
         schema = spark.read.options(**options).csv(path, inferSchema=True).schema

@@ -18,7 +18,7 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

@@ -231,16 +231,6 @@ def test_rfm_few_entities_keep_empty_tiers(spark):
     assert [r["entities"] for r in seg] == [1, 0, 0, 1]
 
 
-def test_rfm_large_way(spark, shop, monkeypatch):
-    from dataprobe.operators import ordering
-
-    base = rfm.rfm_base(shop, "customer_id", "order_date", "revenue")
-    cols = ["entity", "r_score", "f_score", "m_score", "quartile", "rfm_score"]
-    a = {tuple(r) for r in rfm.rfm_scores(base).select(*cols).collect()}
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 5)
-    assert a == {tuple(r) for r in rfm.rfm_scores(base).select(*cols).collect()}
-
-
 def test_kmeans_names_by_value(spark, sf_dir):
     r = {x["segment"]: x for x in entry.queries()["rfm_kmeans"](spark, sf_dir).collect()}
     assert set(r) == set(rfm.CLUSTER_NAMES)
@@ -373,14 +363,6 @@ def test_retrieval_falls_back_to_the_first_chunks(spark, shop):
     assert sorted((r["rank"], r["score"]) for r in got if r["id"] == 2) == [(1, 0), (2, 0), (3, 0)]
 
 
-def test_retrieval_same_with_a_shuffled_join(spark, shop, monkeypatch):
-    chunks = retrieval.knowledge_chunks(shop.select("region", "revenue"), "ecommerce")
-    q = spark.createDataFrame([(1, "average revenue by region"), (2, "top region")], "id int, question string")
-    a = {tuple(r) for r in retrieval.retrieve(q, chunks, ["id"]).collect()}
-    monkeypatch.setattr(retrieval, "TOKEN_BROADCAST_ROWS", 1)
-    assert a == {tuple(r) for r in retrieval.retrieve(q, chunks, ["id"]).collect()}
-
-
 def test_sql_guard(spark):
     ok = ["SELECT 1", "  with t as (select 1 as x) select * from t ; ", "SELECT 'drop table x' AS credit_limit"]
     bad = [
@@ -394,6 +376,79 @@ def test_sql_guard(spark):
             sqlsurface.guarded_sql(spark, text)
 
 
+def test_sql_reads_registered_views_only(spark, tmp_path):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("probe_one")
+    for text in ("SELECT * FROM probe_one", "-- note\nSELECT x FROM probe_one", "(SELECT x FROM probe_one)", "WITH a AS (SELECT x FROM probe_one) SELECT * FROM a", "SELECT x FROM probe_one WHERE x IN (SELECT x FROM probe_one)"):
+        assert sqlsurface.guarded_sql(spark, text, None).count() == 1
+    for text in (f"SELECT * FROM text.`{tmp_path}`", "SELECT reflect('java.lang.System', 'getenv', 'PATH')", "SELECT * FROM no_such_view", "SELECT (SELECT max(x) FROM default.other) FROM probe_one"):
+        with pytest.raises(sqlsurface.UnsafeSQL):
+            sqlsurface.guarded_sql(spark, text)
+
+
+def test_dates_in_many_forms(spark):
+    from dataprobe.operators import shape
+
+    forms = {"1/5/2024": "2024-01-05", "12/25/2024 14:30": "2024-12-25", "25/12/2024": "2024-12-25", "13-Jan-2024": "2024-01-13", "Jan 5, 2024": "2024-01-05", "2024/1/5": "2024-01-05", "5-1-2024": "2024-01-05", "2024-01-05T10:00:00": "2024-01-05", "n/a": None, "99/99/2024": None}
+    df = spark.createDataFrame([(k,) for k in forms], "d string").select("d", shape.parse_timestamp("d").cast("date").cast("string").alias("p"))
+    assert {r.d: r.p for r in df.collect()} == forms
+
+
+def test_more_than_a_hundred_classes(spark):
+    df = spark.createDataFrame([(i, f"c{i % 150:03d}", float(i % 7), float(i % 150)) for i in range(900)], "n int, target string, a double, b double")
+    assert rootcause.incidence(df, "target").first()["positive_class"] == "c001"
+    score, best = rootcause.classifier(df, "target", trees=3, depth=2)
+    assert score.count() == 1 and best.count() >= 1
+    drivers, scores = models.target_drivers(df, "target", trees=3, depth=2)
+    assert scores.count() == 2
+
+
+def test_forest_with_missing_values_keeps_its_trees(spark):
+    from dataprobe.operators import iforest
+
+    df = spark.createDataFrame([(i, float(i % 13) if i != 77 else None, float(i % 5)) for i in range(600)], "id int, a double, b double")
+    nodes, _ = iforest.fit(df, ["a", "b"], ["id"], trees=10)
+    assert all(r["count"] > 1 for r in nodes.groupBy("tree").count().collect())
+
+
+def test_no_columns_to_answer_with(spark):
+    from dataprobe.operators import ask, intent
+
+    df = spark.createDataFrame([("x", 1.0), ("y", 2.0), (None, 3.0)], "name string, v double")
+    q = spark.createDataFrame([("total v",), ("how many records",)], "question string")
+    bare = intent.Catalogue([], [], [])
+    got = ask.answer_log(df, intent.intents(q, bare).withColumn("off_topic", F.lit(False)), bare).collect()
+    assert got and all((r.label, r.value) == ("All records", 3.0) for r in got)
+    no_dims = intent.Catalogue([], [], ["v"])
+    got = ask.answer_log(df, intent.intents(q, no_dims).withColumn("off_topic", F.lit(False)), no_dims).collect()
+    assert {r.value for r in got if r.aggregation == "sum"} == {6.0}
+
+
+def test_explain_picks_by_target(spark):
+    rows = [(i, f"2024-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}", "a" if i % 3 else "b", "yes" if i % 3 == 0 else "no", 10.0 + (i % 3 == 0) * 5 + i % 97 / 97) for i in range(600)]
+    df = spark.createDataFrame(rows, "n int, day_text string, grp string, churned string, spend double")
+    got = rootcause.explain(df, "churned", ["n"])
+    n = got["narrative"].first()
+    assert n.what_happened == "Churned outcome rate is 33.3% across 600 records." and "highest rate in 'b' of Grp (100.0%)" in n.why_it_happened
+    assert {r.dimension for r in got["by_dimension"].collect()} == {"grp"}
+    got = rootcause.explain(df.withColumnRenamed("day_text", "day_date"), "spend", ["n"])
+    assert got["totals"].count() == 1 and "priority" not in got
+    parts = report.executive_report(df, "people", ["n"], target="churned", with_models=False)
+    assert parts["findings"].count() == 4
+
+
+def test_dates_are_resolved(spark):
+    df = spark.createDataFrame([(i, "x", f"{1 + i % 12}/{1 + i % 28}/2024") for i in range(40)], "n int, other_time string, order_date string")
+    got = rootcause.resolve_dates(df, "other_time", ["n"]).select("n", F.col("resolved_date").cast("date").alias("d")).collect()
+    assert {r.n: str(r.d) for r in got}[3] == "2024-04-04"
+    assert str(rootcause.resolve_dates(df.select("n"), None, ["n"]).agg(F.max(F.to_date("resolved_date"))).first()[0]) == "2024-02-09"
+
+
+def test_top_k_takes_any_k(spark):
+    from dataprobe.operators import ordering
+
+    assert ordering.top_k(spark.range(300).selectExpr("id as v", "cast(id as string) as l"), "v", "l", 100).count() == 100
+
+
 def test_sql_limit_holds_beside_a_column_named_limit(spark):
     assert sqlsurface.guarded_sql(spark, "SELECT id AS credit_limit FROM range(5000)").count() == 1000
 

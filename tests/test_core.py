@@ -33,14 +33,6 @@ def test_row_index_is_the_sorted_position(skewed):
     assert got[["k", "id"]].values.tolist() == got.sort_values(["k", "id"])[["k", "id"]].values.tolist()
 
 
-def test_position_same_both_ways(skewed, monkeypatch):
-    keys = [F.col("k").asc(), F.col("id").asc()]
-    one = {r["id"]: r["p"] for r in ordering.position(skewed, keys, "p", 3000).collect()}
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 10)
-    many = {r["id"]: r["p"] for r in ordering.position(skewed, keys, "p", 3000).collect()}
-    assert one == many
-
-
 def test_running_total(skewed):
     got = ordering.running_total(skewed, ["k", "id"], ["id"]).toPandas().sort_values(["k", "id"])
     assert got["upto_id"].tolist() == got["id"].cumsum().tolist()
@@ -61,21 +53,20 @@ def test_quantile_bin_is_qcut(spark, n):
     assert got == pd.qcut(pd.Series(range(1, n + 1)), q=min(4, n), labels=False).tolist()
 
 
-def test_quantiles_same_both_ways(skewed):
+@pytest.mark.parametrize(("inside", "accuracy"), [(20_000, 10_000), (5, 20), (0, 50)])
+def test_quantiles_after_any_number_of_steps(skewed, inside, accuracy):
     probs = [0.0, 0.25, 0.5, 0.6, 0.75, 0.999, 1.0]
-    small = quantiles.quantile_row(skewed, ["v", "id", "k"], probs).first()
-    large = quantiles.quantile_row(skewed, ["v", "id", "k"], probs, cell_limit=0).first()
+    got = quantiles.quantile_row(skewed, ["v", "id", "k"], probs, inside=inside, accuracy=accuracy).first()
     pdf = skewed.toPandas()
     for c in ("v", "id", "k"):
-        assert large[c] == pytest.approx(small[c])
-        assert small[c] == pytest.approx(pdf[c].quantile(probs).tolist())
+        assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
 
 
 def test_quantiles_with_nulls_and_one_value(spark):
     df = frame(spark, [(1.0, None), (None, None), (3.0, None)], "a double, b double")
     assert quantiles.quantile_row(df, ["a"], [0.5]).first()["a"] == [2.0]
-    assert quantiles.quantile_row(df, ["a"], [0.5], cell_limit=0).first()["a"] == [2.0]
-    assert quantiles.quantile_row(df, ["a", "b"], [0.5], cell_limit=0).first()["b"] is None
+    assert quantiles.quantile_row(df, ["a", "b"], [0.5]).first()["b"] is None
+    assert quantiles.quantile_row(df.limit(0), ["a"], [0.5]).first()["a"] is None
 
 
 def test_statistics_match_pandas(spark):
@@ -165,7 +156,7 @@ def test_csv_separators_bad_lines_and_encoding(spark, tmp_path):
     got = [tuple(r) for r in readers.read_csv(spark, a).orderBy("id").collect()]
     assert got == [(1, "x;y", 2), (3, "w", None)]
     b = write(tmp_path / "b.csv", "id\tcity\n1\tKöln\n".encode("latin-1"), "wb")
-    assert readers.detect_encoding(spark, b) == "ISO-8859-1"
+    assert readers.detect_layout(spark, b) == ("ISO-8859-1", False)
     assert readers.read_csv(spark, b).first()["city"] == "Köln"
     c = write(tmp_path / "c.csv", "﻿id,city\n1,Köln\n".encode("utf-8"), "wb")
     df = readers.read_csv(spark, c)
@@ -220,3 +211,28 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch, tmp_path
         scratch.scratch_path(Session(), "x")
     Conf.value = "hdfs://shared/dir"
     assert scratch.scratch_path(Session(), "x").startswith("hdfs://shared/dir/")
+
+
+def test_csv_with_line_breaks_in_fields(spark, tmp_path):
+    rows = [(1, 'a\nb "quoted", c'), (2, " plain "), (3, "x\n\ny")]
+    df = frame(spark, rows, "id int, t string")
+    path = sinks.write_csv(df, str(tmp_path / "broken.csv"))
+    assert readers.detect_layout(spark, path) == ("UTF-8", True)
+    assert sorted(tuple(r) for r in readers.read_csv(spark, path).collect()) == rows
+
+
+def test_scope_deletes_what_was_written(spark, tmp_path):
+    from dataprobe.operators import clean, report, rootcause
+
+    rows = [(i, f"2024-01-{1 + i % 28:02d}", "ab"[i % 2], float(i % 9), None if i % 5 == 0 else float(i)) for i in range(200)]
+    df = frame(spark, rows, "n int, day string, grp string, v double, w double").withColumn("day", F.to_date("day"))
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        with scratch.scope(spark):
+            assert clean.clean(df, ["n"])[0].count() == 200
+            assert rootcause.investigate(df, "v", "day", ["n"])["totals"].count() == 1
+            report.executive_report(df, "t", ["n"], target="v", ts="day", with_models=False)["findings"].collect()
+            assert list(tmp_path.iterdir())
+        assert list(tmp_path.iterdir()) == []
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
