@@ -14,14 +14,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label over all edges (summed up before the shuffle, so a node with very many
     edges is one row per task), then follows labels to their labels. Rounds are logarithmic in the longest chain.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = materialise(both.distinct(), "edges")
-    labels = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node"), "labels")
+    near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # an edge to itself brings a node's own label along
+    both = materialise(near.unionByName(near.select("u", F.col("u").alias("v"))).distinct(), "edges")
+    labels = materialise(both.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), "labels")
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("_r"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("root").alias("_old"), F.least("root", "_r").alias("root"))
+        own = F.max(F.when(F.col("u") == F.col("v"), F.col("root"))).alias("_old")
+        step = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("_r"), own)
         up = labels.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        new = materialise(step.join(up, step["root"] == up["_n"], "left").select("node", "_old", F.least("root", F.coalesce("_up", "root")).alias("root")), "labels")
+        new = materialise(step.join(up, F.col("_r") == F.col("_n")).select(F.col("u").alias("node"), "_old", F.least("_r", "_up").alias("root")), "labels")
         labels = new.select("node", "root")
         if new.filter("root <> _old").isEmpty():
             return labels

@@ -6,11 +6,13 @@ texts get the same sketch only if they share these items in the same order. Text
 ``sketches`` sketches are compared: similarity is 1 - edit distance / length over the two sequences of five-word
 runs, found by an alignment within the band that ``similarity`` allows.
 
-Equal word sequences are one node from the start. In each bucket of equal sketches every node is compared with the
-bucket's smallest, then, in buckets that still hold several components, with the smallest of another component,
-then with all nodes of other components. So a group of near copies costs a few comparisons per member, and no pair
-that a bucket proposes is left open. A pair at similarity 0.8 shares two thirds of its items and misses all 32
-sketches once in about a thousand cases; at 0.9 once in 10^7.
+Equal word sequences are one node from the start, and each bucket of equal sketches compares its nodes with its
+smallest one. Where buckets still hold several components, the rest is joined exactly: a pair at the threshold shares
+most of its items, so it shares one of each text's few rarest items (a fifth of them and one more, rarest first by
+counts over these texts). Texts that merely share a passage have rare items of their own and do not meet. Again each
+such item compares with one node of another component, three times, and only then all that are still apart. So a group of
+near copies costs a few comparisons per member. A pair at similarity 0.8 shares two thirds of its items and misses
+all 32 sketches once in about a thousand cases; at 0.9 once in 10^7.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 KEPT = 4
+SLOTS = 1 << 18
+#: how often each rare item compares with one node, before all that are still apart are compared
+HUB_TURNS = 3
 
 
 def _items(w: Hashed, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,19 +132,20 @@ def distance_within(a: list[int], b: list[int], most: int) -> int | None:
     return score if score <= most else None
 
 
-def similar(a: np.ndarray, b: np.ndarray, shingle: int, similarity: float) -> bool:
-    """Whether two word sequences reach ``similarity`` over their runs of ``shingle`` words."""
+def _runs(x: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words; a shorter text is one run."""
+    n = max(len(x) - shingle + 1, 1)
+    out = np.zeros(n, np.int64)
+    for j in range(min(shingle, len(x))):
+        out = out * np.int64(0x2545F4914F6CDD1D) + x[j : j + n]
+    return out
 
-    def runs(x: np.ndarray) -> np.ndarray:
-        n = max(len(x) - shingle + 1, 1)
-        out = np.zeros(n, np.int64)
-        for j in range(min(shingle, len(x))):
-            out = out * np.int64(0x2545F4914F6CDD1D) + x[j : j + n]
-        return out
 
-    x, y = runs(a), runs(b)
+def similar(a: np.ndarray, b: np.ndarray, shingle: int, similarity: float) -> bool:
+    """Whether two word sequences reach ``similarity`` over their runs of ``shingle`` words."""
+    x, y = _runs(a, shingle), _runs(b, shingle)
     longest = max(len(x), len(y))
-    most = int(np.floor((1 - similarity) * longest + 1e-9))
+    most = _most(longest, similarity)
     if abs(len(x) - len(y)) > most:
         return False
     # items in common bound the distance from below
@@ -151,6 +157,11 @@ def similar(a: np.ndarray, b: np.ndarray, shingle: int, similarity: float) -> bo
     return distance_within(x.tolist(), y.tolist(), most) is not None
 
 
+def _most(n: int, similarity: float) -> int:
+    """The largest distance that similar texts of ``n`` runs may have."""
+    return int(np.floor((1 - similarity) * n + 1e-9))
+
+
 def _nodes(base: DataFrame, shingle: int, sketches: int, kept: int) -> DataFrame:
     """doc_id, _key, node (hash of the word sequence), n_words and the sketches of every row."""
 
@@ -185,6 +196,10 @@ def _sequences(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(scan, "node long, words array<int>")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sequences: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sequences are similar."""
     left = sequences.select(F.col("node").alias("a"), F.col("words").alias("wa"))
@@ -198,10 +213,62 @@ def _verified(pairs: DataFrame, sequences: DataFrame, shingle: int, similarity:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    # how much longer one text may be is known before fetching it: checked again, exactly, in ``similar``
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(scan, "a long, b long")
 
 
+def _labelled(x: np.ndarray, shingle: int) -> np.ndarray:
+    """The runs of one text, each told apart from its earlier occurrences."""
+    runs = _runs(x, shingle)
+    by = np.argsort(runs, kind="stable")
+    new = np.ones(len(by), bool)
+    new[1:] = runs[by][1:] != runs[by][:-1]
+    nth = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    return mix(runs[by].view(np.uint64) + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def _rare_items(sequences: DataFrame, shingle: int, similarity: float, slots: int = SLOTS) -> DataFrame:
+    """item, node, n: the rarest items of each text that two similar texts cannot both miss.
+
+    Rarity is a count per slot of ``slots`` hash slots, a table that stays the same size at every input. Any order
+    that all texts follow is exact; counts only make it a fast one.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(total, (_labelled(x.values.to_numpy().astype(np.int64), shingle) % np.uint64(slots)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    counts = np.zeros(slots, np.int64)
+    for r in sequences.select("words").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["slot"]] = r["n"]
+    shared = sequences.sparkSession.sparkContext.broadcast(counts)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            items, nodes, sizes = [np.zeros(0, np.int64)], [], []
+            for node, x in zip(b.column(0).to_pylist(), b.column(1)):
+                h = _labelled(x.values.to_numpy().astype(np.int64), shingle)
+                first = np.lexsort((h, known[(h % np.uint64(slots)).astype(np.int64)]))[: _most(len(h), similarity) + 1]
+                items.append(h[first].view(np.int64))
+                nodes += [node] * len(first)
+                sizes += [len(h)] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())], ["item", "node", "n"])
+
+    return sequences.select("node", "words").mapInArrow(scan, "item long, node long, n int")
+
+
+def _apart(keyed_nodes: DataFrame, key: str, roots: DataFrame, turn: int = 0) -> DataFrame:
+    """The rows whose key holds several components, with ``root`` and ``x``, a row of one of them, another each turn."""
+    here = keyed_nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    here = materialise(here, "placed")
+    mixed = materialise(here.groupBy(key).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "node", "n")).alias("x")).filter("_lo < _hi").select(key, "x"), "mixed")
+    return materialise(here.join(mixed, key), "apart")
+
+
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES, kept: int = KEPT) -> DataFrame:
     """One row per row: doc_id, _key, n_words, class_id (the smallest doc_id of its class), class_size, stays.
 
@@ -218,31 +285,30 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     members = materialise(buckets.join(several, "bucket"), "buckets")
     reps = rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "_key")).alias("r")).select("node", "r.doc_id", "r._key")
     sequences = materialise(_sequences(base.join(reps, same_row(base, reps)).dropDuplicates(["node"])), "sequences")
-    edges = None
-    tried = None
-    roots = None
-    for kind in ("smallest", "another", "rest"):
-        if kind == "smallest":
-            found = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = _ordered(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    tried = materialise(pairs, "pairs")
+    edges = materialise(_verified(tried, sequences, shingle, similarity), "links")
+    roots = components(edges)
+    apart = _apart(members.select("bucket", "node", F.lit(0).alias("n")), "bucket", roots).select("node").distinct()
+    items = materialise(_rare_items(sequences.join(apart, "node"), shingle, similarity), "rare-items")
+    # no longer text than this can be similar
+    near = lambda m: F.abs(F.col("n") - F.col(m)) <= F.floor((1 - similarity) * F.greatest("n", m) + 1e-9)
+    for turn in range(HUB_TURNS + 1):
+        last = turn == HUB_TURNS
+        here = _apart(items, "item", roots, turn)
+        if here.isEmpty():
+            break
+        if last:
+            other = here.select("item", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+            pairs = here.join(other, "item").filter((F.col("root") < F.col("rb")) & near("nb"))
         else:
-            here = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-            mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("root", "node")).alias("x")).filter("lo < hi")
-            here = materialise(here.join(mixed.select("bucket", "x"), "bucket"), "open")
-            if here.isEmpty():
-                break
-            if kind == "another":
-                found = here.filter("root <> x.root").select(F.col("node").alias("a"), F.col("x.node").alias("b"))
-            else:
-                other = here.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-                found = here.join(other, "bucket").filter((F.col("root") != F.col("rb")) & (F.col("node") > F.col("b"))).select(F.col("node").alias("a"), "b")
-        found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = materialise(found, "pairs")
-        tried = found if tried is None else tried.unionByName(found)
-        good = _verified(found, sequences, shingle, similarity)
-        edges = materialise(good if edges is None else edges.unionByName(good), "links")
-        roots = components(edges)
+            pairs = here.filter(F.col("root") != F.col("x.root")).select("node", "n", F.col("x.node").alias("b"), F.col("x.n").alias("nb")).filter(near("nb"))
+        pairs = materialise(_ordered(pairs.select(F.col("node").alias("a"), "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        more = materialise(_verified(pairs, sequences, shingle, similarity), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = components(edges)
     placed = rows.select("doc_id", "_key", "node", "n_words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("_f"), F.count("*").alias("class_size"))
     out = placed.join(first, "root")

@@ -109,3 +109,14 @@ def test_sketch_keeps_order():
     h, doc = nearcopies._items(w, 1)
     s = nearcopies.sketch(h, doc, 3, 64, 4)
     assert (s[0] == s[2]).all() and 0 < np.mean(s[0] == s[1]) < 0.6
+
+
+def test_passage_groups_meet_through_rare_items(spark):
+    """Texts that share half their words fill buckets together; two of them are near copies all the same."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"q{rng.randrange(10**7)}" for _ in range(40)] + passage)) for i in range(300)]
+    rows.append((500, rows[250][1].replace("p59", "p59x")))
+    rows.append((501, rows[251][1].replace("p30", "zz")))
+    got = {r.doc_id: r.class_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(300)} | {500: 250, 501: 251}
