@@ -66,6 +66,11 @@ def class_levels(df: DataFrame, column: str) -> list[str]:
     return [r["v"] for r in df.select(value).na.drop().distinct().orderBy("v").collect()]
 
 
+def class_codes(column: str, levels: list[str]) -> Column:
+    """The class as a number, with its levels as metadata: without them a learner takes at most 100 classes."""
+    return code_expr(column, levels).cast("double").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": levels}})
+
+
 def _text(c: str, fill: str | None) -> Column:
     t = F.col(c).cast("string")
     return t if fill is None else F.coalesce(t, F.lit(fill))
@@ -305,10 +310,10 @@ def target_drivers(
         raise ValueError("no numeric features")
     classify = is_classification(rows, target)
     if classify:
-        y = code_expr(target, class_levels(rows, target)).cast("double")
+        y = class_codes(target, class_levels(rows, target))
     else:
         y = F.coalesce(as_double(target), F.lit(0.0))
-    keep = [y.alias("label"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")]
+    keep = [y if classify else y.alias("label"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")]
     frame, used = feature_frame(rows, features, keep)
     vec = assemble(spread(materialise(frame, "drivers")), used)
     maker, subset = (RandomForestClassifier, "sqrt") if classify else (RandomForestRegressor, "all")

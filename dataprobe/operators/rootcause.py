@@ -197,8 +197,8 @@ def regression_drivers(
 
 def _record_index(df: DataFrame, label: Column, key: list[str] | None) -> tuple[DataFrame, list[str]]:
     """The position in key order (all columns unless given) as the only feature when nothing else remains."""
-    rows = df.withColumn("_label", label)
-    return row_index(rows, key or df.columns, "_row").select(F.col("_label").alias("label"), F.col("_row").cast("double").alias("x_record_index")), ["record_index"]
+    rows = df.withColumn("label", label)
+    return row_index(rows, key or df.columns, "_row").select("label", F.col("_row").cast("double").alias("x_record_index")), ["record_index"]
 
 
 def positive_class(df: DataFrame, target: str) -> str:
@@ -255,8 +255,8 @@ def classifier(
     """True in-sample metrics of a forest for the class, and its top features."""
     rows = df.filter(F.col(target).isNotNull())
     levels = models.class_levels(rows, target)
-    code = models.code_expr(target, levels).cast("double")
-    frame, used = models.feature_frame(rows, _features(rows, target), [code.alias("label")], max_levels=30)
+    code = models.class_codes(target, levels)
+    frame, used = models.feature_frame(rows, _features(rows, target), [code], max_levels=30)
     if not used:
         frame, used = _record_index(rows, code, key)
     vec = models.assemble(spread(materialise(frame, "classifier")), used)

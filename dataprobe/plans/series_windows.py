@@ -95,8 +95,8 @@ def fill_ffill_bfill(spark, sf_dir):
 
 @query(
     "interpolate_linear",
-    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS v FROM orders
-                  WHERE o_totalprice > 450000 GROUP BY 1),
+    """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1),
+       d AS (SELECT date, CASE WHEN dayofyear(date) % 4 = 0 THEN n END AS v FROM a),
        c AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d),
        j AS (SELECT c.date, v FROM c LEFT JOIN d ON c.date = d.date),
        k AS (SELECT date, v, CASE WHEN v IS NOT NULL THEN date END AS kd FROM j),
@@ -108,8 +108,9 @@ def fill_ffill_bfill(spark, sf_dir):
               round(coalesce(v, pv + (nv - pv) * (date - pd) / (nd - pd), pv, nv), 6) AS v FROM w""",
 )
 def interpolate_linear(spark, sf_dir):
-    big = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 450000)
-    daily = big.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    """Orders per day, known on every fourth day of the year only."""
+    daily = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    daily = daily.withColumn("v", F.when(F.dayofyear("date") % 4 == 0, F.col("v")))
     return series.interpolate(dense_calendar(daily), "v").select(day(), F.round("v", 6).alias("v"))
 
 
