@@ -31,7 +31,7 @@ from dataprobe.scratch import materialise
 VOCABULARY = 1 << 16
 HOT = 512
 DISCOUNTED = 5
-PACK_TOKENS = 4_000_000
+PACK_TOKENS = 1_500_000
 BUCKETS_PER_PARTITION = 16
 #: the hash that stands for the end of a text
 END = np.uint64(0x1D)
@@ -338,34 +338,45 @@ class Bigrams:
         return np.where(self.hot_keys[at] == key, self.hot_n[at], 0)
 
 
+def _by_text(pack: np.ndarray, text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pack and text, sums of the values) of each text."""
+    by = np.lexsort((text, pack))
+    x, v = np.stack([pack[by], text[by]], 1), values[by]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.add.reduceat(v, first) if len(first) else v.astype(float)
+
+
 def _bucket_sums(buckets: DataFrame, words, bigrams) -> DataFrame:
     """pack, text, known, base, score: what the buckets of a task add to each text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, g = words.value, bigrams.value
+        held, size = [], 0
+
+        def out(x: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(v[:, 0].astype(np.int64)), pa.array(v[:, 1]), pa.array(v[:, 2])], ["pack", "text", "known", "base", "score"])
+
         for b in batches:
-            where, values = [], []
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 packs = _unpack(r["packs"], np.int64)
-                key, n = _unpack(r["bigrams"], np.int64), _unpack(r["n"], np.int64)
-                at = _unpack(r["at"], np.int64, True)
-                v = np.zeros((len(at), 3))
-                v[:, 2] = g.log(m, key, n)[at]
-                where.append(np.stack([packs[_unpack(r["pack_at"], np.int64)], _unpack(r["text"], np.int64)], 1))
-                values.append(v)
+                n = _unpack(r["n"], np.int64)
+                log = g.log(m, _unpack(r["bigrams"], np.int64), n)[_unpack(r["at"], np.int64, True)]
+                held.append(_by_text(packs[_unpack(r["pack_at"], np.int64)], _unpack(r["text"], np.int64), np.stack([0 * log, 0 * log, log], 1)))
                 n, at = _unpack(r["word_n"], np.int64), _unpack(r["word_at"], np.int64, True)
-                v = np.stack([n > 0, m.base(n), np.log10(m.seen(n) / m.p[m.rare])], 1)[at]
-                where.append(np.stack([packs[_unpack(r["word_pack"], np.int64)], _unpack(r["word_text"], np.int64)], 1))
-                values.append(v)
-            if not where:
-                continue
-            x, v = np.concatenate(where), np.concatenate(values)
-            by = np.lexsort((x[:, 1], x[:, 0]))
-            x, v = x[by], v[by]
-            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])) if len(x) else np.zeros(0, np.int64)
-            s = np.add.reduceat(v, first) if len(first) else v
-            x = x[first]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(s[:, 0].astype(np.int64)), pa.array(s[:, 1]), pa.array(s[:, 2])], ["pack", "text", "known", "base", "score"])
+                values = np.stack([n > 0, m.base(n), np.log10(m.seen(n) / m.p[m.rare])], 1)[at]
+                held.append(_by_text(packs[_unpack(r["word_pack"], np.int64)], _unpack(r["word_text"], np.int64), values))
+                size += len(held[-1][0]) + len(held[-2][0])
+                if size > PACK_TOKENS // 2:
+                    x, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held = [_by_text(x[:, 0], x[:, 1], v)]
+                    size = len(held[0][0])
+                    if size > PACK_TOKENS // 4:
+                        yield out(*held.pop())
+                        size = 0
+        if held:
+            x, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            yield out(*_by_text(x[:, 0], x[:, 1], v))
 
     return buckets.drop("keys").mapInArrow(scan, "pack long, text int, known long, base double, score double")
 
