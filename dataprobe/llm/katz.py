@@ -347,14 +347,17 @@ def _by_text(pack: np.ndarray, text: np.ndarray, values: np.ndarray) -> tuple[np
 
 
 def _bucket_sums(buckets: DataFrame, words, bigrams) -> DataFrame:
-    """pack, text, known, base, score: what the buckets of a task add to each text."""
+    """A row per task and pack: places of texts in the pack and what the task's buckets add to their known tokens, base
+    and score."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, g = words.value, bigrams.value
         held, size = [], 0
 
         def out(x: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(v[:, 0].astype(np.int64)), pa.array(v[:, 1]), pa.array(v[:, 2])], ["pack", "text", "known", "base", "score"])
+            edge = np.flatnonzero(np.diff(x[:, 0], prepend=-1, append=-1))
+            rows = [(int(x[a, 0]), _pack(x[a:b, 1]), _pack(np.ascontiguousarray(v[a:b]).view(np.int64).ravel())) for a, b in zip(edge[:-1], edge[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["pack", "texts", "sums"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -378,20 +381,18 @@ def _bucket_sums(buckets: DataFrame, words, bigrams) -> DataFrame:
             x, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             yield out(*_by_text(x[:, 0], x[:, 1], v))
 
-    return buckets.drop("keys").mapInArrow(scan, "pack long, text int, known long, base double, score double")
+    return buckets.drop("keys").mapInArrow(scan, "pack long, texts binary, sums binary")
 
 
-def _texts(buckets: DataFrame) -> DataFrame:
-    """pack, text, _key of every text that was dealt."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.column(0).to_pylist():
-                for x in row:
-                    k = _unpack(x["keys"], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), x["pack"])), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k)], ["pack", "text", "_key"])
-
-    return buckets.select("keys").mapInArrow(scan, "pack long, text int, _key long")
+def _pack_sums(rows: pa.Table) -> pa.Table:
+    """Sums over all tasks for every text of a pack, by its ``_key``. A pack holds some million tokens at most (or one
+    text), and a task adds to a text only for tokens of it."""
+    got = rows.to_pylist()
+    keys = np.concatenate([_unpack(r["keys"], np.int64) for r in got if r["keys"] is not None])
+    total = np.zeros((len(keys), 3))
+    for r in sorted((r for r in got if r["texts"] is not None), key=lambda r: (r["texts"], r["sums"])):
+        total[_unpack(r["texts"], np.int64)] += _unpack(r["sums"], np.int64).view(np.float64).reshape(-1, 3)
+    return pa.Table.from_arrays([pa.array(keys), pa.array(total[:, 0].astype(np.int64)), pa.array(total[:, 1]), pa.array(total[:, 2])], ["_key", "known", "base", "score"])
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY):
@@ -420,9 +421,11 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabu
     """
     words, bigrams, buckets = fit(docs, doc_id=doc_id, text=text, vocabulary=vocabulary)
     base = keyed(docs, doc_id, text)
-    sums = _bucket_sums(buckets, words, bigrams).groupBy("pack", "text").agg(*[F.sum(c).alias(c) for c in ("known", "base", "score")])
+    keys = buckets.select(F.explode("keys").alias("k")).select("k.pack", "k.keys")
+    parts = _bucket_sums(buckets, words, bigrams).withColumn("keys", F.lit(None).cast("binary"))
+    sums = parts.unionByName(keys.select("pack", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast("binary").alias("sums"), "keys")).groupBy("pack").applyInArrow(_pack_sums, "_key long, known long, base double, score double")
     # rows with one key have equal texts, so each has the mean of their sums
-    by_key = _texts(buckets).join(sums, ["pack", "text"], "left").fillna(0, ["known", "base", "score"]).groupBy("_key").agg(F.max("known").alias("_known"), F.avg("base").alias("_base"), F.avg("score").alias("_score"))
+    by_key = sums.groupBy("_key").agg(F.max("known").alias("_known"), F.avg("base").alias("_base"), F.avg("score").alias("_score"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, g = words.value, bigrams.value
