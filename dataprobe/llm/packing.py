@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -55,7 +56,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.flat, self.begin = array("I"), array("q", [0])
 
     def _model(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
@@ -76,8 +77,9 @@ class WordIds:
             self.clear()
         for word in set(words):
             if word not in self.place:
-                self.place[word] = len(self.ids)
-                self.ids.append(self._word(word))
+                self.place[word] = len(self.begin) - 1
+                self.flat.extend(self._word(word))
+                self.begin.append(len(self.flat))
 
     def texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (one more entry than texts)."""
@@ -87,15 +89,11 @@ class WordIds:
         count = np.cumsum([0, *(len(s) - s.count(b"") for s in split)])
         place = self.place
         at = np.fromiter((place[w] for w in words), np.int64, len(words))
-        used, back = np.unique(at, return_inverse=True)
-        lists = [self.ids[k] for k in used]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        n = size[back] if len(back) else size[:0]
+        begin = np.frombuffer(self.begin, np.int64)
+        n = begin[at + 1] - begin[at]
         out = np.cumsum(np.append(0, n))
-        pick = np.arange(out[-1]) - np.repeat(out[:-1], n) + np.repeat(begin[back] if len(back) else begin[:0], n)
-        return flat[pick], out[count]
+        pick = np.arange(out[-1]) - np.repeat(out[:-1] - begin[at], n)
+        return np.frombuffer(self.flat, np.uint32)[pick] if len(pick) else np.zeros(0, np.uint32), out[count]
 
 
 def _visible_bytes() -> dict[int, str]:
