@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg((F.min("quality") == 0).alias("low"), (F.max("toxic") == 1).alias("toxic"))
     chosen = known.fillna(False, ["low", "toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    train = texts.join(chosen, "doc_id").dropDuplicates(["text", "low", "toxic"]).persist()
+    # at most ``sample`` rows of an id and two flags: the texts need no shuffle to find them
+    train = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "low", "toxic"]).persist()
     total = train.agg(F.count("*").alias("n"), F.count_if("low").alias("low"), F.count_if("toxic").alias("toxic")).first()
     model = Model()
     if total["n"] == 0:
