@@ -221,15 +221,19 @@ def test_csv_with_line_breaks_in_fields(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.read_csv(spark, path).collect()) == rows
 
 
-def test_scope_deletes_what_was_written(spark, tmp_path, monkeypatch):
+def test_scope_deletes_what_was_written(spark):
+    from pathlib import Path
+
     from dataprobe.operators import clean, report, rootcause
 
     rows = [(i, f"2024-01-{1 + i % 28:02d}", "ab"[i % 2], float(i % 9), None if i % 5 == 0 else float(i)) for i in range(200)]
     df = frame(spark, rows, "n int, day string, grp string, v double, w double").withColumn("day", F.to_date("day"))
-    monkeypatch.setattr(scratch, "_local_base", lambda: str(tmp_path))
+    folder = Path(scratch.scratch_path(spark, "probe").removeprefix("file:")).parent
+    there = lambda: set(folder.glob("dataprobe-*"))
+    before = there()
     with scratch.scope(spark):
         assert clean.clean(df, ["n"])[0].count() == 200
         assert rootcause.investigate(df, "v", "day", ["n"])["totals"].count() == 1
         report.executive_report(df, "t", ["n"], target="v", ts="day", with_models=False)["findings"].collect()
-        assert list(tmp_path.iterdir())
-    assert list(tmp_path.iterdir()) == []
+        assert there() > before
+    assert there() == before
