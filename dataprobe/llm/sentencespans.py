@@ -4,6 +4,10 @@ From every sentence a run starts: the fewest sentences that are at least ``sente
 ``words`` words. Runs are hashed (lower-cased words, so spacing and punctuation do not matter), joined over the
 whole corpus, and each occurrence but the first (lowest id, then place) marks its sentences for removal.
 
+With ``whole`` a run also ends at every sentence (the fewest sentences before it, by the same bounds), and a sentence
+of at least ``words`` words is a run of its own. So every sentence of a repeated passage lies in a repeated run: one that
+starts at it, one that ends at it, or, near both ends of a short passage, the one from the passage's first sentence.
+
 A sentence ends at ``.``, ``!`` or ``?`` before white space and at a line break. A capital that follows a
 lower-case word opens one too: pasted passages often lack the full stop before them.
 """
@@ -50,21 +54,27 @@ def sentence_starts(w: Hashed) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(opens) + 1])
 
 
-def _runs(w: Hashed, sentences: int, words: int):
+def _runs(w: Hashed, sentences: int, words: int, whole: bool):
     """(hash, text, first sentence, last sentence) of every run; sentences counted within their text."""
     s = sentence_starts(w)
     end = np.append(s[1:], len(w.h))
-    last = np.maximum(np.searchsorted(end, s + words), np.arange(len(s)) + sentences - 1)
-    ok = last < len(s)
-    first, last = np.flatnonzero(ok), last[ok]
+    first = np.arange(len(s))
+    last = np.maximum(np.searchsorted(end, s + words), first + sentences - 1)
+    if whole:
+        back = np.minimum(np.searchsorted(s, end - words, "right") - 1, first - sentences + 1)
+        alone = np.flatnonzero(end - s >= words)
+        first, last = np.concatenate([first, back, alone]), np.concatenate([last, first, alone])
+    ok = (first >= 0) & (last < len(s))
+    first, last = first[ok], last[ok]
     inside = w.doc[s[first]] == w.doc[s[last]]
-    first, last = first[inside], last[inside]
+    # a run found from both ends is one occurrence
+    first, last = np.divmod(np.unique(first[inside] * len(s) + last[inside]), max(len(s), 1))
     doc = w.doc[s[first]]
     base = np.searchsorted(s, w.first[doc])
     return w.spans(s[first], end[last]), doc, first - base, last - base
 
 
-def runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES, words: int = WORDS, whole: bool = False) -> DataFrame:
     """doc_id, _key, run (hash), first and last sentence of every run of every text."""
     base = keyed(docs, doc_id, text)
 
@@ -72,7 +82,7 @@ def runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentenc
         for b in batches:
             raws, names, keys = [encode(t) for t in column(b, "text")], b.column(0), b.column(1)
             for lo, hi in chunks(raws):
-                h, doc, first, last = _runs(Hashed(raws[lo:hi]), sentences, words)
+                h, doc, first, last = _runs(Hashed(raws[lo:hi]), sentences, words, whole)
                 rows = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays([names.take(rows), keys.take(rows), pa.array(h.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "_key", "run", "first", "last"])
 
@@ -84,8 +94,11 @@ def repeated(docs: DataFrame, **kw) -> DataFrame:
     sources (ids that hold the first occurrences)."""
     every = materialise(runs(docs, **kw), "runs")
     place = F.struct("doc_id", "_key", "first")
-    known = every.groupBy("run").agg(F.min(place).alias("_f"), F.count("*").alias("_n")).filter("_n > 1").select("run", "_f")
-    later = every.join(known, "run").filter(~place.eqNullSafe(F.col("_f")))
+    # only hashes are shuffled to find what repeats; written, so that Spark can split the rows of a hot run
+    known = materialise(every.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run"), "known")
+    held = materialise(every.join(known, "run"), "held")
+    firsts = materialise(held.groupBy("run").agg(F.min(place).alias("_f")), "firsts")
+    later = held.join(firsts, "run").filter(~place.eqNullSafe(F.col("_f")))
     return later.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_sort(F.collect_set("_f.doc_id")).alias("sources"))
 
 

@@ -1,10 +1,12 @@
 """Sliding sentence runs against a plain version."""
 
+import random
 import re
 
 import pytest
 
 from dataprobe.llm import sentencespans
+from dataprobe.llm.queries import op9_sentence_spans
 
 
 def plain_sentences(text):
@@ -63,3 +65,43 @@ def test_passage_pasted_without_full_stop(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sentencespans.remove_repeats(df).collect() == []
+
+
+def plain_covered(docs, sentences, words):
+    """Sentences in any repeated run of consecutive sentences, however long, from all pairs of places."""
+    first, removed = {}, {}
+    for doc, text in sorted(docs):
+        s = plain_sentences(text)
+        for i in range(len(s)):
+            n = 0
+            for j in range(i, len(s)):
+                n += len(s[j])
+                if n >= words and (j == i or j - i + 1 >= sentences):
+                    run = tuple(w for x in s[i : j + 1] for w in x)
+                    if first.setdefault(run, (doc, i)) != (doc, i):
+                        removed.setdefault(doc, set()).update(range(i, j + 1))
+    return {d: sorted(r) for d, r in removed.items()}
+
+
+def test_repeated_passages_go_to_their_last_sentence(spark):
+    rng = random.Random(3)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((2, 6, 9, 14, 24, 25, 30)))) for _ in range(40)]
+    pasted = [[rng.choice(pool) for _ in range(rng.randrange(1, 7))] for _ in range(25)]
+    rows = []
+    for d in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            parts += rng.choice(pasted) + [" ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.choice((3, 26))))]
+        rows.append((d, "\n".join(parts)))
+    got = sentencespans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    out = {r.doc_id: sorted({k for x in r.removed for k in range(x["first"], x["last"] + 1)}) for r in got if r.removed}
+    assert out == plain_covered(rows, 2, 25)
+
+
+def test_query_drops_long_sentence_and_tail(spark, tmp_path):
+    long = "Alone " + " ".join(f"a{i}" for i in range(29)) + "."
+    passage = " ".join(f"Part{i} " + " ".join(f"b{i}x{j}" for j in range(9)) + "." for i in range(4)) + " Short tail."
+    rows = [(1, f"Opening words. {long} Other end."), (2, f"Quite different start. {long} Another end."), (3, f"Third text. {passage} Own close."), (4, f"Fourth text. {passage} Different close.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in op9_sentence_spans(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "Quite different start. Another end.", 3: rows[2][1], 4: "Fourth text. Different close."}
