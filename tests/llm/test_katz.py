@@ -104,3 +104,16 @@ def test_packed_arrays():
     u = np.array([3, 2**63 + 5, 2**64 - 1], np.uint64)
     assert (katz._unpack(katz._pack(u.view(np.int64), True), np.uint64, True) == u).all()
     assert len(katz._unpack(katz._pack(a[:0], True), np.int64, True)) == 0
+
+
+@pytest.mark.parametrize("common", [0, 50, 2000])
+def test_whole_vocabulary_whatever_tasks_hold(spark, sf_dir, common):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "zebra zebra q1 q2 zebra"), (10**7, None)]
+    plain = Plain(rows, 10**9)
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), common=common).collect()
+    assert len(got) == len(rows)
+    for r, (d, t) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda x: (x[0] is None, x[0]))):
+        want = plain.row(d, t)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
+        assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
