@@ -17,8 +17,9 @@ that size whatever the corpus. All other words are known by their hash, and what
   of rare words that follow rare words are joined from the unigram table.
 
 Each bucket holds all occurrences of its keys, so it counts them (from training texts) and later scores them (for
-all texts). Bigrams of two of the ``HOT`` most frequent classes, which may hold most of a corpus, are counted before
-they are dealt and scored from a table of at most HOT^2 counts, so a bucket never holds a row per text for them.
+all texts). Bigrams of two of the ``HOT`` most frequent classes, the text start and the class of pooled words, which may
+hold most of a corpus, are counted before they are dealt and scored from a table of at most (HOT + 2)^2 counts, so a
+bucket never holds a row per text for them. The number of buckets follows the tokens, so buckets keep their size.
 Occurrences travel as sorted, compressed arrays, one per bucket and some million tokens.
 """
 
@@ -42,6 +43,7 @@ HOT = 512
 DISCOUNTED = 5
 PACK_TOKENS = 1_500_000
 BUCKETS_PER_PARTITION = 16
+BUCKET_TOKENS = 1_000_000
 _BITS = 20  # class numbers fit
 #: the hash that stands for the end of a text; like all but one in 2^44 others it is no class number
 END = np.uint64(0x1D << 40)
@@ -148,12 +150,12 @@ class Words:
         return c, before, before << _BITS | c
 
     def hot(self, key: np.ndarray) -> np.ndarray:
-        """Whether both classes are among the most frequent ones."""
+        """Whether both classes are among the most frequent ones, the text start and pooled words included."""
         before, c = key >> _BITS, key & (1 << _BITS) - 1
         return self._hot(before) & self._hot(c)
 
     def _hot(self, c: np.ndarray) -> np.ndarray:
-        return c < min(HOT, self.rare) if self.full else c < HOT
+        return (c < min(HOT, self.rare)) | (c == self.begin) | ((c == self.rare) & (not self.full))
 
 
 def _pack(a: np.ndarray, delta: bool = False) -> bytes:
@@ -333,7 +335,7 @@ def _bigram_stats(buckets: DataFrame, words) -> tuple[np.ndarray, np.ndarray, di
     found = buckets.select("bigrams", "n", "words", "word_before", "word_n", "after_n").mapInArrow(scan, "at long, v array<double>, hot boolean")
     summed = found.groupBy("hot", "at").agg(*[F.sum(F.try_element_at("v", F.lit(i + 1))).alias(x) for i, x in enumerate(names)])
     of, sums, hot = np.zeros(k + 1), np.zeros((words.value.begin + 1, k + 2)), {}
-    # at most HOT * HOT + vocabulary + 3 rows
+    # at most (HOT + 2)^2 + numbered words + 3 rows
     for r in summed.toLocalIterator():
         if r["hot"]:
             hot[r["at"]] = int(r["n1"])
@@ -530,7 +532,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabula
     top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(numbered).collect()]
     words = spark.sparkContext.broadcast(Words(top, row["total"] or 0, row["different"], np.array([row[f"n{r}"] for r in range(1, k + 2)], float), vocabulary is None))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _dealt(base, words, parts * BUCKETS_PER_PARTITION)
+    dealt = _dealt(base, words, max(parts * BUCKETS_PER_PARTITION, -(-(row["total"] or 0) // BUCKET_TOKENS)))
     buckets = materialise(dealt.groupBy("p").applyInArrow(_bucket, _BUCKET), "buckets")
     bigrams = spark.sparkContext.broadcast(Bigrams(*_bigram_stats(buckets, words)))
     return words, bigrams, buckets, counts

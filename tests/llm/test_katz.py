@@ -117,3 +117,30 @@ def test_whole_vocabulary_whatever_tasks_hold(spark, sf_dir, common):
         want = plain.row(d, t)
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
+
+
+def occurrences(buckets):
+    """How often each bigram is in the buckets, to be scored there."""
+    out = Counter()
+    for r in buckets.select("bigrams", "at").collect():
+        key, at = katz._unpack(r.bigrams, np.int64), katz._unpack(r.at, np.int64, True)
+        out.update((int(k) >> katz._BITS, int(k) & (1 << katz._BITS) - 1) for k in key[at])
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [None, 600])
+def test_starts_and_pooled_words_are_counted_before_they_are_dealt(spark, vocabulary):
+    rows = [(i, f"the r{i}a r{i}b r{i}c " + " ".join(f"w{(i + j) % 700}" for j in range(40))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words, bigrams, buckets, _ = katz.fit(df, vocabulary=vocabulary, common=600)
+    m, found = words.value, occurrences(buckets)
+    special = {m.rare, m.begin}
+    assert found and not [x for x in found if set(x) <= special | set(range(katz.HOT))]
+    assert max(found.values()) < 100  # of 900 texts, each with a start and pooled words
+
+
+def test_buckets_follow_the_tokens(spark, monkeypatch):
+    rows = [(i, " ".join(f"v{i}x{j}" for j in range(200))) for i in range(200)]
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 50)
+    buckets = katz.fit(spark.createDataFrame(rows, "doc_id long, text string"), common=600)[2]
+    assert buckets.count() > 600 > int(spark.conf.get("spark.sql.shuffle.partitions")) * katz.BUCKETS_PER_PARTITION
