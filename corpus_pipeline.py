@@ -20,7 +20,7 @@ def judge_quality(spark, docs, sf_dir):
 
 def dedup_lines(spark, docs, sf_dir):
     """Line blocks that earlier documents hold go; every document stays, if with an empty text."""
-    return linealign.dedup(docs, length="n_chars")
+    return linealign.dedup(docs, length="n_chars", whole=True)
 
 
 def drop_near_copies(spark, docs, sf_dir):

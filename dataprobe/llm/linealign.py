@@ -6,12 +6,18 @@ document, and no cut-off on frequent lines is needed. Each pair is aligned with
 shares: lines that occur once in both are anchors, the longest ascending sequence of them holds, and the stretches
 between are aligned the same way; where no line is unique, the rarest one is the anchor. Runs of aligned adjacent
 lines that hold an anchor-worthy line are blocks, and are deleted from the later document.
+
+With ``whole``, the lines that a document keeps although an earlier one holds them name a further partner: the earliest
+document that kept the line as well. Rounds follow until no line has two such holders, each with at most a pair per
+kept line. Equal texts are paired by the hash of all their lines, and a line of ``CHARS`` characters is worth an anchor
+too, since not every script has blanks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +28,7 @@ from dataprobe.llm.text import column, encode, keyed, same_row
 from dataprobe.scratch import materialise
 
 WORDS = 4
+CHARS = 16
 
 
 def _lines(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -32,12 +39,13 @@ def _lines(raw: bytes) -> Iterator[tuple[int, bytes]]:
             yield i, line
 
 
-def line_table(base: DataFrame) -> DataFrame:
-    """A row per row and different line: doc_id, _key, line (hash), places (among the row's lines that are not blank), words."""
+def line_table(base: DataFrame, least: int = WORDS, whole: bool = False) -> DataFrame:
+    """A row per row and different line: doc_id, _key, line (hash), places (among the row's lines that are not blank), anchor
+    (whether it is worth one). With ``whole`` also one for all n lines of the row, at place -n."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, lines, places, words = [], [], [], []
+            rows, lines, places, anchors = [], [], [], []
             for r, text in enumerate(column(b, "text")):
                 own: dict[bytes, list[int]] = {}
                 for i, (_, line) in enumerate(_lines(encode(text))):
@@ -46,11 +54,17 @@ def line_table(base: DataFrame) -> DataFrame:
                     rows.append(r)
                     lines.append(xxhash.xxh3_64_intdigest(line) - (1 << 63))
                     places.append(at)
-                    words.append(len(line.split()))
+                    anchors.append(len(line.split()) >= least or (whole and len(line.decode("utf-8", "surrogatepass")) >= CHARS))
+                if whole and own:
+                    order = {i: line for line, at in own.items() for i in at}
+                    rows.append(r)
+                    lines.append(xxhash.xxh3_64_intdigest(b"\n".join(order[i] for i in range(len(order))), seed=1) - (1 << 63))
+                    places.append([-len(order)])
+                    anchors.append(True)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.int32())], ["doc_id", "_key", "line", "places", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(anchors, pa.bool_())], ["doc_id", "_key", "line", "places", "anchor"])
 
-    return base.mapInArrow(scan, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, _key long, line long, places array<int>, words int")
+    return base.mapInArrow(scan, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, _key long, line long, places array<int>, anchor boolean")
 
 
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,8 +133,12 @@ def patience(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
 def blocks(shared: list[tuple[int, list[int], list[int], bool]]) -> list[tuple[int, int]]:
     """First and last place of the blocks to delete from the later document.
 
-    ``shared``: (line, places in the later, places in the earlier document, whether the line is worth an anchor).
+    ``shared``: (line, places in the later, places in the earlier document, whether the line is worth an anchor); one at a
+    negative place stands for all lines of equal texts.
     """
+    for _, x, _, _ in shared:
+        if x[0] < 0:
+            return [(0, -x[0] - 1)]
     a = {p: i for i, (_, x, _, _) in enumerate(shared) for p in x}
     b = {p: i for i, (_, _, y, _) in enumerate(shared) for p in y}
     out: list[tuple[int, int]] = []
@@ -136,21 +154,14 @@ def blocks(shared: list[tuple[int, list[int], list[int], bool]]) -> list[tuple[i
     return out
 
 
-def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, whole: bool = False) -> DataFrame:
     """One row per pair: doc_id, _key (the later), source, source_key (the earlier document), blocks (array of first and
     last line among the later document's lines that are not blank)."""
-    lines = materialise(line_table(keyed(docs, doc_id, text)), "lines")
+    lines = materialise(line_table(keyed(docs, doc_id, text), words, whole), "lines")
     # written, so that the join shuffles both sides and Spark can split the rows of a hot line
     known = materialise(lines.groupBy("line").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first"), "known")
-    held = materialise(lines.join(known, "line").select("doc_id", "_key", "line", "places", "words", F.col("first.doc_id").alias("source"), F.col("first._key").alias("source_key")), "held")
+    held = materialise(lines.join(known, "line").select("doc_id", "_key", "line", "places", "anchor", F.col("first.doc_id").alias("source"), F.col("first._key").alias("source_key")), "held")
     later = ~(F.col("doc_id").eqNullSafe(F.col("source")) & (F.col("_key") == F.col("source_key")))
-    # a document has at most as many partners as lines; its lines meet each of them once
-    pairs = held.filter(later & (F.col("words") >= words)).select("doc_id", "_key", "source", "source_key").distinct()
-    own = held.select("doc_id", "_key", "line", "places", (F.col("words") >= words).alias("anchor"))
-    mine = pairs.join(own.withColumnRenamed("doc_id", "_i").withColumnRenamed("_key", "_k"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).drop("_i", "_k")
-    theirs = held.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"), F.col("line").alias("_l"), F.col("places").alias("_places"))
-    both = mine.join(theirs, F.col("source").eqNullSafe(F.col("_i")) & (F.col("source_key") == F.col("_k")) & (F.col("line") == F.col("_l")))
-    shared = both.groupBy("doc_id", "_key", "source", "source_key").agg(F.collect_list(F.struct("line", "places", "_places", "anchor")).alias("shared"))
     kind = lines.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +169,39 @@ def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
             found = [[{"first": x, "last": y} for x, y in blocks(sorted((s["line"], s["places"], s["_places"], s["anchor"]) for s in row))] for row in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["doc_id", "_key", "source", "source_key", "blocks"])
 
-    return shared.mapInArrow(scan, f"doc_id {kind}, _key long, source {kind}, source_key long, blocks array<struct<first:int,last:int>>").filter("size(blocks) > 0")
+    own = held.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"), "line", "places", "anchor")
+    theirs = held.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"), F.col("line").alias("_l"), F.col("places").alias("_places"))
+
+    def align(pairs: DataFrame) -> DataFrame:
+        mine = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).drop("_i", "_k")
+        both = mine.join(theirs, F.col("source").eqNullSafe(F.col("_i")) & (F.col("source_key") == F.col("_k")) & (F.col("line") == F.col("_l")))
+        shared = both.groupBy("doc_id", "_key", "source", "source_key").agg(F.collect_list(F.struct("line", "places", "_places", "anchor")).alias("shared"))
+        return shared.mapInArrow(scan, f"doc_id {kind}, _key long, source {kind}, source_key long, blocks array<struct<first:int,last:int>>").filter("size(blocks) > 0")
+
+    def staying(kept: DataFrame, found: DataFrame) -> DataFrame:
+        gone = found.groupBy(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).agg(F.flatten(F.collect_list("blocks")).alias("_gone"))
+        both = kept.join(gone, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
+        return both.withColumn("places", F.expr("if(_gone is null, places, filter(places, p -> not exists(_gone, g -> p between g.first and g.last)))")).filter("size(places) > 0").select("doc_id", "_key", "line", "places")
+
+    # a document has at most as many partners as lines; its lines meet each of them once
+    columns = ["doc_id", "_key", "source", "source_key"]
+    found = align(held.filter(later & F.col("anchor")).select(*columns).distinct())
+    if not whole:
+        return found
+    found = materialise(found, "overlaps")
+    rounds = [found]
+    kept = materialise(staying(held.filter(later & F.col("anchor") & (F.col("places")[0] >= 0)), found), "kept")
+    while True:
+        firsts = materialise(kept.groupBy("line").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first"), "firsts")
+        if firsts.isEmpty():
+            break
+        # the earliest holder has met all earlier ones; the others meet it
+        kept = kept.join(firsts, "line").select("doc_id", "_key", "line", "places", F.col("first.doc_id").alias("source"), F.col("first._key").alias("source_key")).filter(later)
+        kept = materialise(kept, "kept")
+        found = materialise(align(kept.select(*columns).distinct()), "overlaps")
+        rounds.append(found)
+        kept = materialise(staying(kept, found), "kept")
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: str | None = None, **kw) -> DataFrame:

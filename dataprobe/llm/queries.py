@@ -54,7 +54,7 @@ def op2_near_copies(spark, sf_dir):
 @query("op1_line_alignment")
 def op1_line_alignment(spark, sf_dir):
     """Every document without the line blocks that earlier documents hold."""
-    return linealign.remove_overlaps(table(spark, sf_dir, "documents")).drop("_key")
+    return linealign.remove_overlaps(table(spark, sf_dir, "documents"), whole=True).drop("_key")
 
 
 @query("op4_quality")

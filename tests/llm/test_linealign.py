@@ -3,6 +3,7 @@
 import random
 
 from dataprobe.llm import linealign
+from dataprobe.llm.queries import op1_line_alignment
 
 
 def test_patience_is_an_alignment():
@@ -64,3 +65,35 @@ def test_planted(spark):
     assert got[1].n_removed == 0 and got[3].text == "ok\nno\nok" and got[4].text == "" and got[5].text == ""
     assert got[None].text == "lonely line of some words" and got[7].text == "only here again and again" and got[8].text == ""
     assert linealign.remove_overlaps(df.limit(0)).collect() == []
+
+
+def test_further_partners_until_none_is_left(spark):
+    x, y = "the first of two lines", "the second of two lines"
+    cross = [(1, f"{y}\n{x}"), (2, f"{x}\n{y}"), (3, f"{x}\n{y}\nthird text has its own"), (4, f"{x}\n{y}\nfourth text has its own")]
+    short = [(10, "ok\nno"), (11, "ok\nno"), (12, "\u6f22\u5b57" * 12 + "\nz"), (13, "y\n" + "\u6f22\u5b57" * 12)]
+    more = [(20, "once or more often here"), (21, "\n".join(["once or more often here"] * 3)), (22, "\n".join(["once or more often here"] * 3) + "\nyet more")]
+    got = {r.doc_id: r for r in linealign.remove_overlaps(spark.createDataFrame(cross + short + more, "doc_id long, text string"), whole=True).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 1
+    assert got[3].text == "third text has its own" and got[4].text == "fourth text has its own" and got[3].sources == [1, 2]
+    assert got[10].text == "ok\nno" and got[11].text == "" and got[12].n_removed == 0 and got[13].text == "y"
+    assert got[20].n_removed == 0 and got[21].n_removed == 1 and got[22].text == "yet more"
+
+
+def test_copies_end_empty_and_every_line_stays_somewhere(spark):
+    rng = random.Random(8)
+    pool = [f"line number {i} of the pool" for i in range(12)] + ["short", "ok"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[::3]]
+    got = {r.doc_id: r.text for r in linealign.remove_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert all(got[100 + i] == "" for i, _ in rows[:60:3])
+    first = {}
+    for d, t in rows:
+        for line in t.split("\n"):
+            first.setdefault(line, d)
+    assert all(line in got[d].split("\n") for line, d in first.items())
+
+
+def test_query_takes_further_partners(spark, tmp_path):
+    rows = [(1, "second line of the text\nfirst line of the text"), (2, "first line of the text\nsecond line of the text"), (3, "first line of the text\nsecond line of the text\nown line of this text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.text for r in op1_line_alignment(spark, str(tmp_path)).collect()}[3] == "own line of this text"
