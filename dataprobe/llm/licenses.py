@@ -4,7 +4,8 @@ A block is a line; a block meets a template if it holds at least ``threshold`` o
 The words of all templates are ordered by how many blocks of the whole corpus hold them. A block can only meet a
 template if it holds one of the template's rarest words (prefix filter), has enough words (length filter), and, by
 the places of that word in both ordered sets, can still reach the needed overlap (positional filter). What passes
-is counted exactly. Templates are a parameter given in the program, so their index travels with the tasks.
+is counted exactly. With ``wrapped``, windows over consecutive lines are blocks as well, as many words long as a
+template with its share of ``threshold`` allows, where none of their lines meets the template alone. Templates are a parameter given in the program, so their index travels with the tasks.
 """
 
 from __future__ import annotations
@@ -101,8 +102,8 @@ class Index:
             for place, word in enumerate(s[: len(s) - self.need[t] + 1].tolist()):
                 self.prefix.setdefault(word, []).append((t, place))
 
-    def matches(self, block: list[int]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that a block, as ascending ranks, meets."""
+    def matches(self, block: list[int]) -> list[tuple[int, float]]:
+        """(template, containment) of the templates that a block, as ascending ranks, meets."""
         out, seen = [], set()
         for place, word in enumerate(block):
             for t, at in self.prefix.get(word, ()):
@@ -115,19 +116,57 @@ class Index:
                 seen.add(t)
                 overlap = len(np.intersect1d(self.sets[t], block, assume_unique=True))
                 if overlap >= self.need[t]:
-                    out.append((self.labels[t], overlap / size))
+                    out.append((t, overlap / size))
         return out
 
 
-def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def _windows(w: Hashed, vocabulary: np.ndarray, index: Index, spans: list[int], met: set[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+    """(index of the first word, template, containment) of windows over lines; of overlapping ones the best. ``met``:
+    (line, template) that match already."""
+    if not len(vocabulary) or not len(w.h):
+        return
+    number = np.minimum(np.searchsorted(vocabulary, w.h), len(vocabulary) - 1)
+    at = np.flatnonzero(vocabulary[number] == w.h)
+    ranks, line = index.rank[number[at]], _blocks(w)
+    for t, s in enumerate(index.sets):
+        need = index.need[t]
+        inside = np.zeros(len(vocabulary), bool)
+        inside[s] = True
+        mine = inside[ranks]
+        pos, own = at[mine], ranks[mine]
+        # prefix filter: a window holds one of the rarest words; length filter: enough of the template's words
+        inside[s[len(s) - need + 1 :]] = False
+        rare = np.concatenate([[0], np.cumsum(inside[own])])
+        end = np.searchsorted(pos, np.minimum(pos + spans[t], w.first[w.doc[pos] + 1]))
+        start = np.arange(len(pos))
+        ok = (end - start >= need) & (rare[end] > rare[start])
+        ok[ok] = line[pos[start[ok]]] != line[pos[end[ok] - 1]]
+        best, until = None, -1
+        for i in np.flatnonzero(ok).tolist():
+            j = int(end[i])
+            overlap = len(set(own[i:j].tolist()))
+            if overlap < need or any((x, t) in met for x in line[pos[i:j]].tolist()):
+                continue
+            if best and i >= until:
+                yield best
+                best = None
+            if not best or overlap / len(s) > best[2]:
+                best = (int(pos[i]), t, overlap / len(s))
+            until = j
+        if best:
+            yield best
+
+
+def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks (line from 0,
-    label and containment of every block that meets a template).
+    label and containment of every block that meets a template). ``wrapped``: notices broken over lines count too.
 
     Null texts are empty; texts without words have no labels and score 0. Repeated rows are scanned each. Templates
     without words meet nothing. ``score`` is the highest containment found.
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kept = [(label, np.unique(_hashes(t))) for label, t in templates]
+    spans = [max(int(len(_hashes(t)) / threshold + 1e-9), len(h)) for (_, t), (_, h) in zip(templates, kept) if len(h)]
     kept = [(label, h) for label, h in kept if len(h)]
     vocabulary = np.unique(np.concatenate([h for _, h in kept])) if kept else np.zeros(0, np.uint64)
     sets = [np.searchsorted(vocabulary, h) for _, h in kept]
@@ -163,12 +202,21 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 by = np.lexsort((ranks, block))
                 block, ranks, at = block[by], ranks[by], at[by]
                 cut = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(block) else np.zeros(1, np.int64)
+                met: set[tuple[int, int]] = set()
+
+                def add(word: int, t: int, share: float) -> None:
+                    d = int(w.doc[word])
+                    line = w.src.count(b"\n", w.at[d], w.start[word])
+                    found[d].append({"line": line, "label": index.labels[t], "containment": share})
+
                 for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     if y - x >= least:
-                        for label, share in index.matches(ranks[x:y].tolist()):
-                            d = int(w.doc[at[x]])
-                            line = w.src.count(b"\n", w.at[d], w.start[at[x]])
-                            found[d].append({"line": line, "label": label, "containment": share})
+                        for t, share in index.matches(ranks[x:y].tolist()):
+                            met.add((int(block[x]), t))
+                            add(at[x], t, share)
+                if wrapped:
+                    for x in _windows(w, vocabulary, index, spans, met):
+                        add(*x)
                 has = n_base > 0
                 every = [labels[d] | {x["label"] for x in found[d]} for d in range(m)]
                 yield pa.RecordBatch.from_pydict({

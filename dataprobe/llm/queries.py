@@ -86,7 +86,7 @@ FROM d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN best ON d.doc_id = bes
 @query("op5_licenses", _op5_sql())
 def op5_licenses(spark, sf_dir):
     """License phrases and notices of every document."""
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 @query("op7_line_rules")

@@ -1,8 +1,10 @@
 """License scan: random blocks against plain containment, odd rows, positions."""
 
 import random
+import textwrap
 
 from dataprobe.llm import licenses
+from dataprobe.llm.queries import op5_licenses
 from dataprobe.llm.text import words
 
 
@@ -38,3 +40,14 @@ def test_places_and_odd_rows(spark):
     assert got[6].labels == "all-rights-reserved" and got[6].base_labels == "" and got[6].score == 1 and got[6].blocks[0].line == 1
     assert licenses.scan_licenses(df).count() == len(rows) and licenses.scan_licenses(df.limit(0)).collect() == []
     assert licenses.scan_licenses(df, templates=[]).filter("score > 0").count() == 0
+
+
+def test_query_meets_wrapped_notices(spark, tmp_path):
+    rows = [(100 * i + width, "Some text before.\n" + textwrap.fill(t, width) + "\nand after", label) for i, (label, t) in enumerate(licenses.TEMPLATES) for width in (25, 40, 72)]
+    rows += [(9001, "all the people\nhad their rights\nand then some were reserved", ""), (9002, "Released under the MIT License.\nReleased under the MIT License.", "mit")]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op5_licenses(spark, str(tmp_path)).collect()}
+    for d, _, label in rows:
+        assert label in got[d].labels.split(",") and (got[d].score == 1 if label else got[d].score == 0)
+    blocks = {r.doc_id: r.blocks for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), wrapped=True).collect()}
+    assert [(b.line, b.label) for b in blocks[340]] == [(1, "bsd")] and [b.line for b in blocks[9002]] == [0, 1]
