@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
+from dataprobe.llm import convrepair, decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,3 +105,9 @@ def op10_page_text(spark, sf_dir):
 def op6_katz_scores(spark, sf_dir):
     """Base and model score of every document."""
     return katz.score(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    """Cheapest repair of every damaged conversation."""
+    return convrepair.digest(convrepair.damage(table(spark, sf_dir, "conversations")))
