@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import convrepair, decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans
+from dataprobe.llm import convrepair, decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans, toxicity
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,3 +111,9 @@ def op6_katz_scores(spark, sf_dir):
 def op12_conversation_repair(spark, sf_dir):
     """Cheapest repair of every damaged conversation."""
     return convrepair.digest(convrepair.damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
