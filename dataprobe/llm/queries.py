@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dataprobe.llm import convrepair, decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans, toxicity
+from dataprobe.llm import collocations, convrepair, decontam, htmltext, katz, licenses, linealign, linerules, nearcopies, packing, quality, sentencespans, toxicity
 from dataprobe.llm.registry import query, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,3 +117,32 @@ def op12_conversation_repair(spark, sf_dir):
 def op11_toxicity(spark, sf_dir):
     """Toxicity of every document."""
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+f1 AS (SELECT lang, x, count(*) AS f FROM s GROUP BY lang, x),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM s WHERE y IS NOT NULL GROUP BY lang, x, y),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM s WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+longer AS (SELECT lang, x, y, max(f) AS most FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY lang, x, y),
+two AS (SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, u.f AS l, v.f AS r, (1000000 * p.f::HUGEINT * p.f) // (u.f::HUGEINT * v.f) AS score
+  FROM f2 p JOIN f1 u ON u.lang = p.lang AND u.x = p.x JOIN f1 v ON v.lang = p.lang AND v.x = p.y LEFT JOIN longer g ON g.lang = p.lang AND g.x = p.x AND g.y = p.y
+  WHERE p.f >= 10 AND (most IS NULL OR 100 * most < 50 * p.f)),
+cut AS (SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, u.f AS l1, b.f AS r1, c.f AS l2, v.f AS r2,
+  (1000000 * t.f::HUGEINT * t.f) // (u.f::HUGEINT * b.f) AS s1, (1000000 * t.f::HUGEINT * t.f) // (c.f::HUGEINT * v.f) AS s2
+  FROM f3 t JOIN f1 u ON u.lang = t.lang AND u.x = t.x JOIN f1 v ON v.lang = t.lang AND v.x = t.z
+  JOIN f2 b ON b.lang = t.lang AND b.x = t.y AND b.y = t.z JOIN f2 c ON c.lang = t.lang AND c.x = t.x AND c.y = t.y),
+every AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13_collocations(spark, sf_dir):
+    """The first phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
