@@ -7,8 +7,9 @@ the sum of a one-word stripe is the frequency of the word (the mark makes it who
 and the largest entry of a pair's stripe is the longest phrase that may swallow the pair on the right; grouping the
 same entries by their last two words gives it on the left.
 
-A first pass counts words. Words too rare for any phrase turn into the mark: a bitmap of fixed size tells them, and one
-that it fails to tell only costs work. Words so frequent that one stripe would be large are few by definition (``HOT``
+A first pass counts words. Words too rare for any phrase turn into the mark, and pairs get a stripe only where they and the
+pair after them are frequent, so stripes of words are merged before those of pairs are built. Bitmaps of fixed size tell
+what is rare; what they fail to tell only costs work. Words so frequent that one stripe would be large are few by definition (``HOT``
 at most, all others are bounded by the same share of the corpus); their stripes are cut by a hash of the next word into parts of
 about ``SLICE`` occurrences, a pair's stripe into as many as the rarer of its words has. So no task holds a
 large counter, whatever one word or pair may share of the corpus. Counts are exact.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndar
             yield lang, coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
 
-def _slots(lang: str, words: pa.Array) -> np.ndarray:
+def _crc(lang: str, words: pa.Array) -> np.ndarray:
     seed = zlib.crc32(encode(lang) + b" ")
     return np.fromiter((zlib.crc32(w, seed) for w in words.to_pylist()), np.int64, len(words))
 
@@ -75,39 +77,55 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "lang string, word binary, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _bitmap(words: DataFrame) -> np.ndarray:
-    """Bit ``checksum % BITS`` is set for every word of ``words``; at most ``BITS / 32`` rows come to the driver."""
-    slot = (F.crc32(F.concat(F.encode("lang", "utf-8"), F.encode(F.lit(" "), "utf-8"), F.col("word"))) % BITS).cast("int")
-    rows = words.select(slot.alias("s")).selectExpr("s div 32 AS w", "shiftleft(1L, s % 32) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+def _bitmap(names: DataFrame) -> np.ndarray:
+    """Bit ``checksum % BITS`` is set for every lang and name; at most ``BITS / 32`` rows come to the driver."""
+    slot = (F.crc32(F.concat(F.encode("lang", "utf-8"), F.encode(F.lit(" "), "utf-8"), F.col("name"))) % BITS).cast("int")
+    rows = names.select(slot.alias("s")).selectExpr("s div 32 AS w", "shiftleft(1L, s % 32) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS // 32, np.uint32)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out
 
 
-def _entries(lang: str, words: pa.Array, at: np.ndarray, bitmap: np.ndarray, cuts: dict[tuple[str, bytes], int], base: int) -> Iterator[pa.RecordBatch]:
-    """The stripes of one chunk of text."""
-    crc = _slots(lang, words)
+def _known(bitmap: np.ndarray, crc: np.ndarray) -> np.ndarray:
     slot = crc % BITS
-    frequent = bitmap[slot // 32] >> (slot % 32).astype(np.uint32) & 1 == 1
+    return bitmap[slot // 32] >> (slot % 32).astype(np.uint32) & 1 == 1
+
+
+@dataclass
+class _Shared:
+    """What tasks know beforehand: bitmaps of words and pairs, parts of the stripes of hot words and of all others."""
+
+    words: np.ndarray
+    pairs: np.ndarray | None
+    cuts: dict[tuple[str, bytes], int]
+    base: int
+
+
+def _entries(lang: str, words: pa.Array, at: np.ndarray, known: _Shared) -> pa.RecordBatch:
+    """The stripes of one chunk of text: of its words, or, once frequent pairs are known, of its pairs."""
+    crc = _crc(lang, words)
+    frequent = _known(known.words, crc)
     frequent[0] = False
     at = np.where(frequent[at], at, 0)
-    parts = np.full(len(words), base, np.int64)
-    if cuts:
-        hot = [(i, cuts[lang, w]) for i, w in enumerate(words.to_pylist()) if (lang, w) in cuts]
-        if hot:
-            parts[[i for i, _ in hot]] = [p for _, p in hot]
+    parts = np.full(len(words), known.base, np.int64)
+    if known.cuts:
+        for i, w in enumerate(words.to_pylist()):
+            parts[i] = known.cuts.get((lang, w), known.base)
     size = len(words)
-    open_ = at[:-1] != 0
     key = at[:-1] * size + at[1:]
-    pairs, n = np.unique(key[open_], return_counts=True)
-    first, then = pairs // size, pairs % size
-    yield _stripes(lang, words, words.take(pa.array(first)), first, then, n, parts[first], crc, 1)
-    both = open_[:-1] & (at[1:-1] != 0)
-    place = np.searchsorted(pairs, key[:-1][both])
-    triples, n = np.unique(place * size + at[2:][both], return_counts=True)
+    if known.pairs is None:
+        pairs, n = np.unique(key[at[:-1] != 0], return_counts=True)
+        first, then = pairs // size, pairs % size
+        return _stripes(lang, words, words.take(pa.array(first)), first, then, n, parts[first], crc, 1)
+    pairs, place = np.unique(key, return_inverse=True)
+    first, second = pairs // size, pairs % size
+    names = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), b" ")
+    likely = (first != 0) & (second != 0)
+    likely[likely] = _known(known.pairs, _crc(lang, names.filter(pa.array(likely))))
+    both = likely[place[:-1]] & likely[place[1:]]
+    triples, n = np.unique(place[:-1][both] * size + at[2:][both], return_counts=True)
     pair, then = triples // size, triples % size
-    names = pc.binary_join_element_wise(words.take(pa.array(first[pair])), words.take(pa.array(pairs[pair] % size)), b" ")
-    yield _stripes(lang, words, names, pair, then, n, np.minimum(parts[first[pair]], parts[pairs[pair] % size]), crc, 2)
+    return _stripes(lang, words, names.take(pa.array(pair)), pair, then, n, np.minimum(parts[first[pair]], parts[second[pair]]), crc, 2)
 
 
 def _stripes(lang: str, words: pa.Array, names: pa.Array, prefix: np.ndarray, then: np.ndarray, n: np.ndarray, parts: np.ndarray, crc: np.ndarray, length: int) -> pa.RecordBatch:
@@ -207,18 +225,24 @@ def stripes(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
     # at most HOT words can hold a share of 1 / HOT
     hot = words.filter(F.col("f") >= max(SLICE, n // HOT + 1)).collect()
     cuts = {(r["lang"], bytes(r["word"])): -(-r["f"] // SLICE) for r in hot}
+    frequent = _bitmap(words.filter(F.col("f") >= least).withColumnRenamed("word", "name"))
     base = max(1, -(-n // (HOT * SLICE)))
-    shared = spark.sparkContext.broadcast((_bitmap(words.filter(F.col("f") >= least)), cuts, base))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, hot_cuts, parts = shared.value
-        for b in batches:
-            for lang, found, at in _by_language(b):
-                yield from _entries(lang, found, at, bitmap, hot_cuts, parts)
+    def grown(pairs: np.ndarray | None) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_Shared(frequent, pairs, cuts, base))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lang, found, at in _by_language(b):
+                    yield _entries(lang, found, at, shared.value)
+
+        dealt = docs.mapInArrow(scan, _STRIPE).repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
+        return dealt.mapInArrow(_merge(least), "lang string, prefix binary, words int, total long, nexts array<binary>, counts array<long>")
 
-    rows = docs.mapInArrow(scan, _STRIPE)
-    dealt = rows.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
-    return dealt.mapInArrow(_merge(least), "lang string, prefix binary, words int, total long, nexts array<binary>, counts array<long>")
+    one = materialise(grown(None), "stripes")
+    pairs = one.select("lang", "prefix", F.explode("nexts").alias("next"))
+    two = grown(_bitmap(pairs.select("lang", F.concat("prefix", F.encode(F.lit(" "), "utf-8"), "next").alias("name"))))
+    return one.unionByName(two)
 
 
 def phrases(merged: DataFrame, subsumed: int = SUBSUMED) -> DataFrame:
