@@ -10,7 +10,7 @@ from dataprobe.scratch import materialise
 _SPLIT_BITS = 33  # monotonically_increasing_id keeps the position in the low 33 bits
 
 
-def _range_split(df: DataFrame, order_by: list[Column | str]) -> DataFrame:
+def range_split(df: DataFrame, order_by: list[Column | str]) -> DataFrame:
     """Rows range-split on the whole key and written once, with split number and position in the split.
 
     The whole key is used so that a hot leading value still spreads over splits. Writing fixes the splits:
@@ -31,7 +31,7 @@ def row_index(df: DataFrame, order_by: list[Column | str], name: str = "row_inde
 
     Split sizes, one row per split, turn into offsets that are small enough to broadcast.
     """
-    split = _range_split(df, order_by)
+    split = range_split(df, order_by)
     sizes = split.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -42,7 +42,7 @@ def row_index(df: DataFrame, order_by: list[Column | str], name: str = "row_inde
 
 def running_total(df: DataFrame, order_by: list[Column | str], columns: list[str], prefix: str = "upto_") -> DataFrame:
     """Inclusive running sums in key order over the whole table."""
-    split = _range_split(df, order_by)
+    split = range_split(df, order_by)
     here = Window.partitionBy("_split").orderBy("_pos")
     sums = split.groupBy("_split").agg(*[F.sum(c).alias(c) for c in columns])
     before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +60,7 @@ def fill_both_ways(df: DataFrame, columns: list[str], order_by: list[Column | st
     Filled inside each split first; each split's first and last known values then carry over to its
     neighbours, one row per split.
     """
-    split = _range_split(df, order_by)
+    split = range_split(df, order_by)
     back = Window.partitionBy("_split").orderBy("_pos")
     # reading backwards keeps a running frame; a frame to unbounded following is rebuilt for every row
     ahead = Window.partitionBy("_split").orderBy(F.col("_pos").desc())
