@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -53,7 +55,7 @@ def read_csv(
     """CSV with a header. Rows with too many fields are dropped, short rows are padded with nulls.
 
     Pass ``schema``, ``encoding`` and ``multi_line`` on large inputs: without them the files are read once more to
-    infer the first, and once to find the other two. Files are split over tasks unless fields hold line breaks.
+    infer the first, and once to find the other two. Files are split over tasks, also where fields hold line breaks.
     """
     header = _first_line(spark, path)
     sep = detect_separator(header)
@@ -61,7 +63,9 @@ def read_csv(
         found = detect_layout(spark, path)
         encoding = encoding or found[0]
         multi_line = found[1] if multi_line is None else multi_line
-    options = {"header": True, "sep": sep, "encoding": encoding, "multiLine": multi_line, "escape": '"'}
+    if multi_line:
+        return _read_broken_lines(spark, path, sep, encoding, schema)
+    options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"'}
     if schema is None:
         schema = spark.read.options(**options).csv(path, inferSchema=True).schema
     names = [f.name.lstrip("﻿").strip() for f in schema]
@@ -73,9 +77,103 @@ def read_csv(
     df = spark.read.options(**options).csv(
         path, schema=with_raw, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW, enforceSchema=True
     )
+    return _without_long_rows(df, sep, len(schema))
+
+
+def _without_long_rows(df: DataFrame, sep: str, fields: int) -> DataFrame:
     plain = F.regexp_replace(F.col(_RAW), _QUOTED, "")
-    fields = F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
-    return df.filter(F.col(_RAW).isNull() | (fields <= len(schema))).drop(_RAW)
+    found = F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
+    return df.filter(F.col(_RAW).isNull() | (found <= fields)).drop(_RAW)
+
+
+def _read_broken_lines(spark: SparkSession, path: str, sep: str, encoding: str, schema: T.StructType | None) -> DataFrame:
+    """As ``read_csv``, for files whose quoted fields hold line breaks; each string of ``csv_records`` is one row."""
+    records = csv_records(spark, path, encoding)
+    options = {"sep": sep, "escape": '"'}
+    head = _fields(csv_records(spark, path, encoding, header=True).limit(1), options)
+    if schema is None:
+        # inference over strings that are no file is only offered for an RDD of them
+        guessed = spark.read.options(**options).csv(records.rdd.map(lambda r: r[0]), inferSchema=True).schema
+        names = [n if n is not None else f"_c{i}" for i, n in enumerate(head)]
+        kinds = [f.dataType for f in guessed] + [T.StringType()] * (len(names) - len(guessed))
+        schema = T.StructType([T.StructField(n, k, True) for n, k in zip(names, kinds)])
+    schema = T.StructType([T.StructField(f.name.lstrip("\ufeff").strip(), f.dataType, True) for f in schema])
+    with_raw = T.StructType(schema.fields + [T.StructField(_RAW, T.StringType(), True)])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_raw)
+    row = F.from_csv("value", F.lit(ddl), options | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW})
+    rows = records.select(row.alias("r")).select("r.*")
+    return rows.drop(_RAW) if len(schema) == 1 else _without_long_rows(rows, sep, len(schema))
+
+
+def _fields(one: DataFrame, options: dict) -> list[str | None]:
+    """The fields of a single record."""
+    rows = one.collect()
+    if not rows:
+        return []
+    return list(one.sparkSession.read.options(**options).csv(one.sparkSession.sparkContext.parallelize([rows[0][0]])).first())
+
+
+def csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = False) -> DataFrame:
+    """``value``: the records of CSV files whose quoted fields may hold line breaks; with ``header`` only the first of each file.
+
+    Files are read by many tasks, each a range of a file's lines. Whether a range begins inside a quoted field depends on
+    the quotes before it, so a first pass takes the parity of each range and a running parity over the ranges of a file
+    (one number per range) fixes how each begins. The second pass joins lines to records; the parts of a record that goes over a
+    range's end, two per range at most, are put together by a window over them alone.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    decoded = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), decoded.alias("value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd: dict[tuple[str, int], bool] = {}
+    inside, last = False, None
+    # one row per range
+    for r in sorted(lines.groupBy("file", "start").agg((F.sum(quotes) % 2 == 1).alias("odd")).collect()):
+        inside = inside and r["file"] == last
+        odd[r["file"], r["start"]] = inside
+        inside, last = inside != r["odd"], r["file"]
+    begins = spark.sparkContext.broadcast(odd)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # kinds: 0 whole, 1 the end of a record begun in an earlier range, 2 its beginning, 3 a whole range inside one
+        place, parts, open_, begun, first = None, [], False, False, False
+        out: list[tuple] = []
+
+        def close() -> None:
+            if place is not None and parts:
+                out.append((*place, 2 if begun else 3, first, "\n".join(parts)))
+
+        for b in batches:
+            for file, start, value in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (file, start) != place:
+                    close()
+                    place, parts, open_ = (file, start), [], begins.value[file, start]
+                    begun, first = not open_, start == 0
+                if not open_ and not parts and not value.strip():
+                    continue
+                parts.append(value)
+                if value.count('"') % 2:
+                    open_ = not open_
+                if not open_:
+                    out.append((*place, 0 if begun else 1, first, "\n".join(parts)))
+                    first, begun, parts = first and not begun, True, []
+            yield batch(out)
+            out.clear()
+        close()
+        yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], ["file", "start", "kind", "first", "value"])
+
+    found = lines.mapInArrow(scan, "file string, start long, kind int, first boolean, value string")
+    # a range's end of an earlier record comes before the beginning of its own last one
+    order = Window.partitionBy("file").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    parts = found.filter("kind > 0").withColumn("n", F.count_if(F.col("kind") == 2).over(order))
+    whole = parts.groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "value"))).alias("p"), F.max("first").alias("first"))
+    whole = whole.select("first", F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"))
+    every = found.filter("kind = 0").select("first", "value").unionByName(whole)
+    return every.filter("first" if header else "not first").select(F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
