@@ -18,8 +18,9 @@ from dataprobe.functions.ladders import ladder
 from dataprobe.functions.numeric import as_double, half_even
 from dataprobe.operators import metrics
 from dataprobe.operators.aggregates import distinct_counts, value_counts_by_column
-from dataprobe.operators.ordering import ranked_within, row_index
+from dataprobe.operators.ordering import ranked_within
 from dataprobe.operators.quantiles import median_row, quantile_row
+from dataprobe.operators.selection import first_rows_of_groups
 from dataprobe.operators.shape import columns_of
 from dataprobe.scratch import materialise, spread
 
@@ -212,14 +213,11 @@ def assemble(frame: DataFrame, used: list[str]) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: list[str], test_share: float = 0.25, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(n * share)`` rows of each class, chosen by a seeded hash of the key.
 
-    A class may hold most of the table, so rows are numbered over range splits of (class, hash, key).
+    The hash and key at each class's cut are found by counting, so no row is moved, whatever share a class has.
     """
     hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
-    indexed = row_index(hashed, [label, "_h", *key], "_row")
-    sizes = indexed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    cut = F.ceil(F.col("_n") * F.lit(test_share))
-    joined = indexed.join(sizes, label)
-    return joined.withColumn("is_test", F.col("_row") - F.col("_first") < cut).select(*df.columns, "is_test")
+    cut = first_rows_of_groups(hashed, label, ["_h", *key], test_share)
+    return cut.select(*df.columns, F.col("_first").alias("is_test"))
 
 
 # -------------------------------------------------------------------- models

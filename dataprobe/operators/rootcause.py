@@ -6,6 +6,8 @@ of a few low-cardinality dimensions before anything is compared.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from dataprobe.functions.formatting import format_metric, title_case, title_text
 from dataprobe.functions.numeric import as_double, half_even, pct_change, ratio
 from dataprobe.operators import metrics, models
 from dataprobe.operators.ordering import row_index
+from dataprobe.operators.selection import first_rows
 from dataprobe.operators.shape import columns_of, daily_dates_by_position, high_low_bins, parse_timestamp, tag_period
 from dataprobe.scratch import materialise, spread
 
@@ -45,11 +48,10 @@ def with_periods(
 
 
 def _positional(rows: DataFrame, order_by: list[str], share: float, sides: set[str]) -> DataFrame:
-    indexed = row_index(rows, order_by, "_row")
-    n = F.broadcast(indexed.agg(F.count(F.lit(1)).alias("_n")))
-    first = F.col("_row") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
-    cols = {"in_p1": first, "in_p2": ~first}
-    return indexed.crossJoin(n).withColumns({c: cols[c] for c in sides}).drop("_row", "_n")
+    total = rows.count()
+    halves = first_rows(rows, order_by, max(1, math.floor(total * share)), total)
+    cols = {"in_p1": F.col("_first"), "in_p2": ~F.col("_first")}
+    return halves.withColumns({c: cols[c] for c in sides}).drop("_first")
 
 
 def period_totals(tagged: DataFrame, ts: str, metric: str) -> DataFrame:

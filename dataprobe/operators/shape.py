@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from dataprobe.functions.numeric import as_double, col
 from dataprobe.operators.ordering import row_index
 from dataprobe.operators.quantiles import median_row
+from dataprobe.operators.selection import first_rows
 
 
 def safe_name(name: str) -> str:
@@ -116,15 +118,13 @@ def tag_period(ts: Column | str, start, end=None) -> Column:
 
 
 def split_by_position(df: DataFrame, order_by: list, share: float = 0.55) -> DataFrame:
-    """Tag the first ``share`` of the ordered rows ``p1`` and the rest ``p2``."""
-    indexed = row_index(df, order_by, "_row")
-    total = F.broadcast(indexed.agg(F.count(F.lit(1)).alias("_n")))
-    cut = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
-    return (
-        indexed.crossJoin(total)
-        .withColumn("period", F.when(F.col("_row") <= cut, "p1").otherwise("p2"))
-        .drop("_row", "_n")
-    )
+    """Tag the first ``share`` of the ordered rows ``p1`` and the rest ``p2``, by comparison with the key at the cut.
+
+    ``order_by`` names columns and ends in a unique key.
+    """
+    total = df.count()
+    cut = max(1, math.floor(total * share))
+    return first_rows(df, order_by, cut, total).withColumn("period", F.when(F.col("_first"), "p1").otherwise("p2")).drop("_first")
 
 
 def high_low_bins(df: DataFrame, column: str, out: str = "bin") -> DataFrame:
