@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.scratch import materialise
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: each task keeps those that join two of its trees.
+
+    All edges from one ``a`` meet in a task, so a node with several edges to the same group keeps about one of them.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = top(a), top(b)
+                keep.append(x != y)
+                parent[max(x, y)] = min(x, y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return edges.select("a", "b").repartition("a").mapInArrow(scan, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns a, b): root is the smallest node of its component.
 
-    Each round takes the smallest label over all edges (summed up before the shuffle, so a node with very many
+    Only a forest of the edges is followed. Each round takes the smallest label over all edges (summed up before the shuffle, so a node with very many
     edges is one row per task), then follows labels to their labels. Rounds are logarithmic in the longest chain.
     """
-    near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = materialise(forest(edges), "forest").select(F.col("a").alias("u"), F.col("b").alias("v"))
     near = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # an edge to itself brings a node's own label along
     both = materialise(near.unionByName(near.select("u", F.col("u").alias("v"))).distinct(), "edges")
