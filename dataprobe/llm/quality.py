@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.text import column, encode, tokens, words
+from dataprobe.llm.text import column, encode, free_names, tokens, words
 from dataprobe.scratch import materialise
 
 SAMPLE = 20_000
@@ -242,8 +242,17 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str | None = "source", path: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever these are called.
+
+    Every text is scored once, into a table without texts; the rows to keep are found again by id and a hash of
+    what was judged. Null texts are empty, null hosts and paths the site ''; repeated rows are judged alike; an
+    empty table gives no rows; without labels every document stays.
+    """
     model = fit(docs, labels, doc_id=doc_id, text=text)
-    scored = score(docs.withColumns({"_host": _site(host), "_path": _site(path)}), model, text=text)
-    priors = site_priors(scored.select("_host", "_path", "_good"))
-    return _with_posterior(scored, priors).filter(F.col("_posterior") >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    ident, raw = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    key = F.xxhash64(ident, raw, _site(host), _site(path))
+    base = docs.select(ident.alias("doc_id"), key.alias("_key"), raw.alias("text"), _site(host).alias("_host"), _site(path).alias("_path"))
+    scored = materialise(score(base, model).drop("text"), "quality")
+    own, other, row = free_names(docs, "_own", "_id", "_key")
+    kept = _with_posterior(scored, site_priors(scored)).filter(F.col("_posterior") >= threshold).select(F.col("doc_id").alias(other), F.col("_key").alias(row)).distinct()
+    return docs.withColumn(own, key).join(kept, ident.eqNullSafe(F.col(other)) & (F.col(own) == F.col(row)), "left_semi").drop(own)

@@ -124,5 +124,17 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("_key"), text.alias("text"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
