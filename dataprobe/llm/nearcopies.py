@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.llm.components import components
-from dataprobe.llm.text import Hashed, chunks, column, encode, keyed, mix, same_row
+from dataprobe.llm.text import Hashed, chunks, column, encode, free_names, keyed, mix, same_row
 from dataprobe.scratch import materialise
 
 SHINGLE = 5
@@ -309,14 +309,19 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if not more.isEmpty():
             edges = edges.unionByName(more)
             roots = components(edges)
-    placed = rows.select("doc_id", "_key", "node", "n_words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("_f"), F.count("*").alias("class_size"))
-    out = placed.join(first, "root")
+    # one row per node before anything is joined, so that equal texts are one row; the rows themselves meet it once
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_key")).alias("_f"), F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = materialise(nodes, "nodes")
+    classes = nodes.groupBy("root").agg(F.min("_f").alias("_f"), F.sum("n").alias("class_size"))
+    placed = materialise(nodes.select("node", "root").join(classes, "root").drop("root"), "classes")
+    out = rows.select("doc_id", "_key", "node", "n_words").join(placed, "node")
     return out.select("doc_id", "_key", F.col("n_words").cast("long").alias("n_words"), F.col("_f.doc_id").alias("class_id"), "class_size", F.struct("doc_id", "_key").eqNullSafe(F.col("_f")).alias("stays"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows repeated with the same id and text once."""
-    first = near_copies(docs, doc_id=doc_id, text=text, **kw).filter("stays").select(F.col("doc_id").alias("_i"), "_key").distinct()
-    tagged = docs.withColumn("_k2", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")))
-    return tagged.join(first, tagged[doc_id].eqNullSafe(first["_i"]) & (tagged["_k2"] == first["_key"]), "left_semi").dropDuplicates([doc_id, "_k2"]).drop("_k2")
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called; rows repeated with the same id and
+    text once. Texts without words (null or empty) are one class, so one of them stays. An empty table gives no rows."""
+    own, ident, key = free_names(docs, "_own", "_id", "_key")
+    first = near_copies(docs, doc_id=doc_id, text=text, **kw).filter("stays").select(F.col("doc_id").alias(ident), F.col("_key").alias(key)).distinct()
+    tagged = docs.withColumn(own, F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")))
+    return tagged.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(key)), "left_semi").dropDuplicates([doc_id, own]).drop(own)
