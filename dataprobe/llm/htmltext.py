@@ -11,6 +11,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,6 +92,8 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
     parts: list[str] = []
     linked = 0
     links = 0
+    deeper: Counter[str] = Counter()  # open elements that are not on the stack, by tag
+    unseen = 0  # and how many of them hide what they hold
 
     def flush() -> None:
         nonlocal linked
@@ -111,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not stack[-1][1] & _SKIP:
+        if text and not unseen and not stack[-1][1] & _SKIP:
             parts.append(text)
             if links:
                 linked += len(text)
@@ -127,6 +130,12 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
         tag = (m[4] or "").lower()
         if not tag or not m[6]:
             continue
+        if m[3] and deeper[tag]:
+            deeper[tag] -= 1
+            unseen -= tag in UNSEEN
+            if tag in BLOCKS:
+                flush()
+            continue
         if m[3]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if at:
@@ -161,6 +170,8 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
             place = end.end() if end else n
             continue
         if len(stack) > DEEPEST:
+            deeper[tag] += 1
+            unseen += tag in UNSEEN
             continue
         links += tag == "a"
         stack.append((tag, stack[-1][1] | _mask(tag, m[5]), tag if tag in BLOCKS else stack[-1][2]))
@@ -175,7 +186,7 @@ def features(found: list[tuple[str, int, str, int]]) -> list[list[float]]:
         size = len(text)
         out.append([
             *[float(bits >> i & 1) for i in range(len(KINDS))], *[float(tag == t) for t in OWN],
-            math.log1p(n), min(1.0, linked / size), float(text[-1] in ".!?:\"'”"), sum(map(text.count, ".,;")) / n, float(n <= 3), float("©" in text or "(c)" in text), sum(c.isdigit() for c in text[:200]) / min(size, 200),
+            math.log1p(n), min(1.0, linked / size), float(text[-1] in ".!?:\"'”"), sum(map(text.count, ".,;")) / n, float(n <= 3), float("©" in text or "(c)" in text), sum(map(str.isdigit, text)) / size,
         ])
     return out
 
