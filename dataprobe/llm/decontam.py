@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.text import Hashed, chunks, column, encode, keyed, mix, same_row
+from dataprobe.llm.text import Hashed, chunks, column, encode, free_names, keyed, mix, same_row
 from dataprobe.scratch import materialise
 
 WINDOW = 13
@@ -174,9 +174,13 @@ def digest(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever these are called.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives no rows.
+    """
     id_col, text_col = kw.get("doc_id", "doc_id"), kw.get("text", "text")
-    bad = contamination(docs, items, **kw).filter("contaminated").select(F.col("doc_id").alias("_i"), "_key").distinct()
+    own, other, key = free_names(docs, "_own", "_id", "_key")
+    bad = contamination(docs, items, **kw).filter("contaminated").select(F.col("doc_id").alias(other), F.col("_key").alias(key)).distinct()
     ident = F.col(f"`{id_col}`")
-    tagged = docs.withColumn("_k", F.xxhash64(ident, F.col(f"`{text_col}`").cast("string")))
-    return tagged.join(bad, ident.eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")
+    tagged = docs.withColumn(own, F.xxhash64(ident, F.col(f"`{text_col}`").cast("string")))
+    return tagged.join(bad, ident.eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left_anti").drop(own)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.text import column, encode, keyed, same_row
+from dataprobe.llm.text import column, encode, free_names, keyed, same_row
 from dataprobe.scratch import materialise
 
 WORDS = 4
@@ -205,12 +205,17 @@ def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: str | None = None, **kw) -> DataFrame:
-    """All rows and columns of ``docs`` with the text that stays; ``length`` names a column that holds the text's
-    number of characters, set anew."""
+    """All rows and columns of ``docs``, whatever they are called, with the text that stays; ``length`` names a column
+    that holds the text's number of characters, set anew where there is one.
+
+    Null texts stay null; an exact copy of an earlier document ends with an empty text, rows repeated with the same id and
+    text count as one document; an empty table gives no rows.
+    """
     found = overlaps(docs, doc_id=doc_id, text=text, **kw)
-    gone = found.groupBy(F.col("doc_id").alias("_i"), "_key").agg(F.flatten(F.collect_list("blocks")).alias("_gone"))
+    own, other, key, cut = free_names(docs, "_own", "_id", "_key", "_gone")
+    gone = found.groupBy(F.col("doc_id").alias(other), F.col("_key").alias(key)).agg(F.flatten(F.collect_list("blocks")).alias(cut))
     ident, raw = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
-    both = docs.withColumn("_k", F.xxhash64(ident, raw)).join(gone, ident.eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_key")), "left").select(*[f"`{c}`" for c in docs.columns], "_gone")
+    both = docs.withColumn(own, F.xxhash64(ident, raw)).join(gone, ident.eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left").select(*[f"`{c}`" for c in docs.columns], cut)
     at = docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +225,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
     out = both.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-    return out.withColumn(length, F.length(f"`{text}`").cast(docs.schema[length].dataType)) if length else out
+    return out.withColumn(length, F.length(f"`{text}`").cast(docs.schema[length].dataType)) if length in docs.columns else out
 
 
 def _without(raw: bytes, gone: list | None) -> tuple[bytes, int, int]:
