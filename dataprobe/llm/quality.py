@@ -33,6 +33,8 @@ MIN_DOCS = 5
 MIN_Z = 4.0
 SHRINK = 5.0
 THRESHOLD = 0.5
+#: hosts and paths that are sent to every task; more are joined by shuffle
+FEW_SITES = 100_000
 #: how strongly a site may differ at most: prior strength is at least this many documents
 MIN_STRENGTH = 20.0
 
@@ -177,8 +179,8 @@ def _z(kind: str, total) -> Column:
     return F.abs(value / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) + F.lit(1e-9)
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_good``, the document's own probability of being good."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "_good") -> DataFrame:
+    """All columns of ``docs`` and ``name``, the document's own probability of being good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text)
@@ -187,10 +189,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         m = shared.value
         for b in batches:
             x = np.array([features(t, m.low, m.toxic) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(m.good(x), 1e-6, 1 - 1e-6))], [*names, "_good"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(m.good(x), 1e-6, 1 - 1e-6))], [*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{schema}, `_good` double")
+    return docs.mapInArrow(scan, f"{schema}, `{name}` double")
 
 
 def _strength(rows: DataFrame, total: Column, n: Column, parent: Column) -> Column:
@@ -217,11 +219,13 @@ def site_priors(scored: DataFrame, host: str = "_host", path: str = "_path") ->
     return both.select(host, path, ((F.col("s") + F.col("k2") * F.col("hm")) / (F.col("n") + F.col("k2"))).alias("_prior"), F.col("overall").alias("_overall"))
 
 
-def _with_posterior(scored: DataFrame, priors: DataFrame) -> DataFrame:
+def _posterior(good: str, prior: str, overall: str) -> Column:
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-    total = odds("_good") + odds("_prior") - odds("_overall")
-    both = scored.join(priors, ["_host", "_path"])
-    return both.withColumn("_posterior", 1 / (1 + F.exp(-total)))
+    return 1 / (1 + F.exp(-(odds(good) + odds(prior) - odds(overall))))
+
+
+def _with_posterior(scored: DataFrame, priors: DataFrame) -> DataFrame:
+    return scored.join(priors, ["_host", "_path"]).withColumn("_posterior", _posterior("_good", "_prior", "_overall"))
 
 
 def _site(c: str | None) -> Column:
@@ -244,15 +248,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str | None = "source", path: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns, whatever these are called.
 
-    Every text is scored once, into a table without texts; the rows to keep are found again by id and a hash of
-    what was judged. Null texts are empty, null hosts and paths the site ''; repeated rows are judged alike; an
-    empty table gives no rows; without labels every document stays.
+    Every text is scored once; the rows are written with their own probability, the sites' priors come from that
+    table, and the rows are not shuffled where the sites are few enough to send to every task. Null texts are empty,
+    null hosts and paths the site ''; repeated rows are judged alike; an empty table gives no rows; without labels
+    every document stays.
     """
     model = fit(docs, labels, doc_id=doc_id, text=text)
-    ident, raw = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
-    key = F.xxhash64(ident, raw, _site(host), _site(path))
-    base = docs.select(ident.alias("doc_id"), key.alias("_key"), raw.alias("text"), _site(host).alias("_host"), _site(path).alias("_path"))
-    scored = materialise(score(base, model).drop("text"), "quality")
-    own, other, row = free_names(docs, "_own", "_id", "_key")
-    kept = _with_posterior(scored, site_priors(scored)).filter(F.col("_posterior") >= threshold).select(F.col("doc_id").alias(other), F.col("_key").alias(row)).distinct()
-    return docs.withColumn(own, key).join(kept, ident.eqNullSafe(F.col(other)) & (F.col(own) == F.col(row)), "left_semi").drop(own)
+    good, at_host, at_path, prior, overall, other_host, other_path = free_names(docs, "_good", "_host", "_path", "_prior", "_overall", "_host2", "_path2")
+    scored = materialise(score(docs.withColumns({at_host: _site(host), at_path: _site(path)}), model, text=text, name=good), "quality")
+    judged = site_priors(scored.select(F.col(at_host).alias("_host"), F.col(at_path).alias("_path"), F.col(good).alias("_good")))
+    sites = materialise(judged.select(F.col("_host").alias(other_host), F.col("_path").alias(other_path), F.col("_prior").alias(prior), F.col("_overall").alias(overall)), "sites")
+    sites = F.broadcast(sites) if sites.count() <= FEW_SITES else sites
+    both = scored.join(sites, (F.col(at_host) == F.col(other_host)) & (F.col(at_path) == F.col(other_path)))
+    return both.filter(_posterior(good, prior, overall) >= threshold).select(*[f"`{c}`" for c in docs.columns])
