@@ -12,7 +12,9 @@ most of its items, so it shares one of each text's few rarest items (a fifth of
 counts over these texts). Texts that merely share a passage have rare items of their own and do not meet. Again each
 such item compares with one node of another component, three times, and only then all that are still apart. So a group of
 near copies costs a few comparisons per member. A pair at similarity 0.8 shares two thirds of its items and misses
-all 32 sketches once in about a thousand cases; at 0.9 once in 10^7.
+all 32 sketches once in about a thousand cases; at 0.9 once in 10^7. Short texts, where a single edit is all that is
+allowed, would miss them more often: they also meet in buckets of their sequences with one run left out, which finds
+every such pair.
 """
 
 from __future__ import annotations
@@ -86,6 +88,31 @@ def sketch(h: np.ndarray, doc: np.ndarray, texts: int, sketches: int, kept: int)
     return out
 
 
+def _one_left_out(w: Hashed, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text): each short text's sequence of runs, whole and with each run left out.
+
+    Short are texts that may differ in one run, and those a run shorter. Two of them within one edit share a key: the
+    runs that stay, where one is replaced, or the whole shorter one, where one is added.
+    """
+    g, _ = w.grams(shingle)
+    size = np.diff(w.first) - shingle + 1
+    keys, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    n = 1
+    while _most(n, similarity) < 2 and n <= int(size.max(initial=0)):
+        here = np.flatnonzero(size == n) if _most(n + 1, similarity) else np.zeros(0, np.int64)
+        if len(here):
+            runs = g[w.first[here][:, None] + np.arange(n)]
+            for out in range(n + 1) if _most(n, similarity) else [n]:  # n: none is left out
+                key = np.full(len(here), 0x5851F42D4C957F2D, np.uint64)
+                for j in range(n):
+                    if j != out:
+                        key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + runs[:, j])
+                keys.append(key)
+                texts.append(here)
+        n += 1
+    return np.concatenate(keys), np.concatenate(texts)
+
+
 def distance_within(a: list[int], b: list[int], most: int) -> int | None:
     """Edit distance of two sequences if it is at most ``most``, else None.
 
@@ -162,8 +189,8 @@ def _most(n: int, similarity: float) -> int:
     return int(np.floor((1 - similarity) * n + 1e-9))
 
 
-def _nodes(base: DataFrame, shingle: int, sketches: int, kept: int) -> DataFrame:
-    """doc_id, _key, node (hash of the word sequence), n_words and the sketches of every row."""
+def _nodes(base: DataFrame, shingle: int, sketches: int, kept: int, similarity: float) -> DataFrame:
+    """doc_id, _key, node (hash of the word sequence), n_words and the sketches of every row, with the keys of short texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,9 +201,12 @@ def _nodes(base: DataFrame, shingle: int, sketches: int, kept: int) -> DataFrame
                 s = sketch(h, doc, hi - lo, sketches, kept)
                 n = np.diff(w.first)
                 node = w.spans(w.first[:-1], w.first[1:]).view(np.int64)
-                flat = pa.array(s.view(np.int64).ravel())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, sketches, 0))]).astype(np.int32))
-                flat = flat.filter(pa.array(np.repeat(n > 0, sketches)))
+                some = np.flatnonzero(n > 0)
+                key, of = _one_left_out(w, shingle, similarity)
+                of = np.concatenate([np.repeat(some, sketches), of])
+                by = np.argsort(of, kind="stable")
+                flat = pa.array(np.concatenate([s[some].ravel(), key])[by].view(np.int64))
+                offsets = pa.array(np.searchsorted(of[by], np.arange(len(n) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "_key", "node", "n_words", "sketches"])
 
     return base.mapInArrow(scan, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, _key long, node long, n_words int, sketches array<long>")
@@ -278,7 +308,7 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ids come first. An empty table gives no rows.
     """
     base = keyed(docs, doc_id, text)
-    rows = materialise(_nodes(base, shingle, sketches, kept), "sketches")
+    rows = materialise(_nodes(base, shingle, sketches, kept, similarity), "sketches")
     buckets = rows.groupBy("node").agg(F.first("sketches").alias("s")).select("node", F.explode("s").alias("bucket"))
     # written, so that the join shuffles both sides and Spark can split the rows of a hot bucket
     several = materialise(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub"), "hubs")

@@ -120,3 +120,26 @@ def test_passage_groups_meet_through_rare_items(spark):
     rows.append((501, rows[251][1].replace("p30", "zz")))
     got = {r.doc_id: r.class_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i for i in range(300)} | {500: 250, 501: 251}
+
+
+def test_pairs_at_the_threshold_by_length(spark):
+    """As many last words changed as the threshold allows: short texts are all found, longer ones nearly all."""
+    rng = random.Random(11)
+    fresh = lambda: f"x{rng.randrange(10**9)}"
+    rows, pairs = [], {}
+    for n in (8, 9, 10, 11, 12, 13, 14, 17, 19, 24, 30, 44):
+        for _ in range(80):
+            ws = [fresh() for _ in range(n)]
+            changed = (n - 4) // 5
+            rows += [(len(rows), " ".join(ws)), (len(rows) + 1, " ".join(ws[: n - changed] + [fresh() for _ in range(changed)]))]
+            pairs.setdefault(n, []).append(len(rows) - 2)
+    added = [fresh() for _ in range(8)]  # four runs, and five with a word more
+    rows += [(9000, " ".join(added)), (9001, " ".join([*added, "more"])), (9002, " ".join(["other", *added[1:]]))]
+    same = ["again"] * 9
+    rows += [(9100, " ".join(same)), (9101, " ".join([*same[:8], "else"]))]
+    got = {r.doc_id: r.class_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {n: sum(got[i + 1] == i for i in first) / len(first) for n, first in pairs.items()}
+    assert all(found[n] == 1 for n in (8, 9, 10, 11, 12, 13)), found
+    assert min(found.values()) >= 0.95, found
+    assert got[9001] == 9000 and got[9002] == 9002 and got[9101] == 9100
+    assert all(got[i] == i for first in pairs.values() for i in first)
