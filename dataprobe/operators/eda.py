@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +61,53 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -
     )
 
 
+def _moments(values: DataFrame, centre: list[float]) -> DataFrame:
+    """``i, j, n, a, b, aa, bb, ab`` per pair and task: number and sums of the values, less ``centre``, where both are known."""
+    k = len(centre)
+    at = np.array(centre)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two, cross = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - at
+            known = np.isfinite(x)
+            x = np.where(known, x, 0.0)
+            m = known.astype(float)
+            n += m.T @ m
+            one += x.T @ m
+            two += (x * x).T @ m
+            cross += x.T @ x
+        i, j = np.nonzero(np.triu(n))
+        out = [i.astype(np.int32), j.astype(np.int32), n[i, j], one[i, j], one[j, i], two[i, j], two[j, i], cross[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    return values.mapInArrow(scan, "i int, j int, n double, a double, b double, aa double, bb double, ab double")
+
+
+#: a part of the second moment; variances below it are rounding, the column is constant
+NO_SPREAD = 1e-12
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``i, j, x, y, r`` for every unordered pair of numeric columns, itself included.
 
-    Each row is spread over its pairs and aggregated per pair inside its task, so only one record per pair
-    and task is shuffled. One aggregate per pair side by side would outgrow what the JVM compiles.
+    Each task multiplies its batches with their masks of known values and gives one record of moments per pair, so
+    what is shuffled does not grow with the rows. The moments are taken around the columns' means, found by one
+    aggregate before. Values that are not finite count as missing; a pair without spread has no ``r`` and is left out.
     """
     columns = columns or columns_of(df, "numeric")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "i int, j int, x string, y string, r double")
     names = F.lit(columns)
-    values = df.select(*[as_double(c).alias(c) for c in columns])
-    pairs = [(i, i) for i in range(len(columns))] + list(combinations(range(len(columns)), 2))
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(columns[i]).alias("a"), F.col(columns[j]).alias("b")) for i, j in pairs
-    ]
-    long = values.select(F.explode(F.array(*cells)).alias("s")).select("s.*").filter("a IS NOT NULL AND b IS NOT NULL")
-    r = F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))
-    out = long.groupBy("i", "j").agg(r.alias("r")).filter(F.col("r").isNotNull())
+    values = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))  # noqa: E731  Spark sorts NaN above infinity
+    means = values.agg(*[F.avg(finite(c)).alias(c) for c in values.columns]).first()
+    centre = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    g = _moments(values, centre).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    spread = (va > F.col("aa") * NO_SPREAD) & (vb > F.col("bb") * NO_SPREAD)
+    r = (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / (F.sqrt(va) * F.sqrt(vb))
+    out = g.filter(spread).select("i", "j", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
     return out.select("i", "j", F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), "r")
 
 
