@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.numeric import half_even, to_number, whole_days_between
+from dataprobe.operators.aggregates import distinct_counts
 from dataprobe.operators.ordering import row_index, quantile_bin
+from dataprobe.operators.roles import rfm_roles
+from dataprobe.operators.shape import columns_of
 from dataprobe.scratch import materialise
 
 # fixed values: tier names, top quartile first
@@ -19,11 +22,34 @@ TIERS = {
         "Tier 1 (High Performance / Top Quartile)", "Tier 2 (Above Average / Upper Mid)", "Tier 3 (Moderate / Lower Mid)",
         "Tier 4 (Low / Opportunity Quartile)",
     ),
+    "agriculture": (
+        "Optimal Tier (High Range)", "Balanced Baseline Tier (Standard)", "Moderate Deficit Tier (Sub-Optimal)", "Critical Deficit Tier (Low Range)",
+    ),
+    "healthcare": ("High Care Priority (Intensive Tier)", "Elevated Monitoring Tier", "Moderate Risk Tier", "Low Risk / Stable Tier"),
 }
 ACTIONS = ("Reward and protect", "Grow and cross-sell", "Win back now", "Reactivate at low cost")
 MISSING_DATE_DAYS = 30
 
 
+def entity_column(df: DataFrame, least: int = 3, most: int = 1000) -> str | None:
+    """The column of entities: by name, else the first text column with ``least`` to ``most`` different values.
+
+    One aggregate of sketches leaves out columns that are clearly too large, so only short lists of values are shuffled
+    for the exact counts. None if no column fits.
+    """
+    named = rfm_roles(df)["entity"]
+    texts = columns_of(df, "string")
+    if named or not texts:
+        return named
+    rough = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.01).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+    near = [c for c, n in zip(texts, rough) if n <= 1.1 * most]  # ten standard errors
+    if not near:
+        return None
+    counts = distinct_counts(df, near)
+    fit = {r["column"] for r in counts.collect() if least <= r["distinct_count"] <= most}  # one row per column
+    return next((c for c in near if c in fit), None)
+
+
 def rfm_base(df: DataFrame, entity: str, date: str | None, value: str, min_share: float = 0.3) -> DataFrame:
     """``entity, recency, frequency, monetary``; the value is summed, or averaged when there are no usable dates.
 

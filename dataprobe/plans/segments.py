@@ -52,6 +52,36 @@ def rfm_segments(spark, sf_dir):
     return rfm.rfm_segments(rfm.rfm_scores(_base(spark, sf_dir)))
 
 
+def _part_base(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", F.col("p_retailprice").cast("decimal(18,2)").alias("price"))
+    return rfm.rfm_base(part, rfm.entity_column(part), None, "price")
+
+
+PART = """d AS (SELECT count(DISTINCT p_name) AS a, count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS c FROM part),
+  o AS (SELECT CASE WHEN a BETWEEN 3 AND 1000 THEN p_name WHEN b BETWEEN 3 AND 1000 THEN p_brand WHEN c BETWEEN 3 AND 1000 THEN p_type END AS entity,
+               CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part, d),
+  base AS (SELECT entity, count(*) AS frequency, CAST(sum(price) AS DOUBLE) / count(*) AS monetary FROM o WHERE entity IS NOT NULL GROUP BY 1)"""
+
+
+@query("rfm_fallback_entity", f"WITH {PART} SELECT entity, frequency, round(monetary, 6) AS monetary FROM base")
+def rfm_fallback_entity(spark, sf_dir):
+    return _part_base(spark, sf_dir).select("entity", "frequency", F.round("monetary", 6).alias("monetary"))
+
+
+@query(
+    "rfm_domain_tiers",
+    f"""WITH {PART}, sc AS (SELECT *, {_BIN.format(c='monetary')} AS quartile FROM base)
+        SELECT entity, CASE quartile WHEN 3 THEN 'Optimal Tier (High Range)' WHEN 2 THEN 'Balanced Baseline Tier (Standard)'
+               WHEN 1 THEN 'Moderate Deficit Tier (Sub-Optimal)' ELSE 'Critical Deficit Tier (Low Range)' END AS tier,
+               CASE quartile WHEN 3 THEN 'High Care Priority (Intensive Tier)' WHEN 2 THEN 'Elevated Monitoring Tier'
+               WHEN 1 THEN 'Moderate Risk Tier' ELSE 'Low Risk / Stable Tier' END AS care FROM sc""",
+)
+def rfm_domain_tiers(spark, sf_dir):
+    scores = rfm.rfm_scores(_part_base(spark, sf_dir))
+    tiers = rfm.with_segments(scores, "agriculture").select("entity", "quartile", F.col("segment").alias("tier"))
+    return rfm.with_segments(tiers, "healthcare").select("entity", "tier", F.col("segment").alias("care"))
+
+
 @query(
     "rfm_top",
     f"""WITH {SCORES} SELECT entity, segment, frequency, round_even(monetary, 2) AS total_value, CAST(recency AS DOUBLE) AS recency_days
