@@ -9,9 +9,10 @@ runs, found by an alignment within the band that ``similarity`` allows.
 Equal word sequences are one node from the start, and each bucket of equal sketches compares its nodes with its
 smallest one. Where buckets still hold several components, the rest is joined exactly: a pair at the threshold shares
 most of its items, so it shares one of each text's few rarest items (a fifth of them and one more, rarest first by
-counts over these texts). Texts that merely share a passage have rare items of their own and do not meet. Again each
-such item compares with one node of another component, three times, and only then all that are still apart. So a group of
-near copies costs a few comparisons per member. A pair at similarity 0.8 shares two thirds of its items and misses
+exact counts over these texts). Texts that merely share a passage have rare items of their own and do not meet. Again each
+such item compares its texts with one of them, its hub, which then leaves; items that still hold several components go
+on with more hubs, until none is left. So a group of near copies costs a few comparisons per member, and two texts that
+are not similar are compared only if four fifths of each are as common as the item they share. A pair at similarity 0.8 shares two thirds of its items and misses
 all 32 sketches once in about a thousand cases; at 0.9 once in 10^7. Short texts, where a single edit is all that is
 allowed, would miss them more often: they also meet in buckets of their sequences with one run left out, which finds
 every such pair.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.llm.components import components
@@ -34,9 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 KEPT = 4
-SLOTS = 1 << 18
-#: how often each rare item compares with one node, before all that are still apart are compared
-HUB_TURNS = 3
+#: a rare item compares its texts with one of them first, then with this many times as many each turn
+HUB_GROWTH = 4
 
 
 def _items(w: Hashed, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,47 +256,46 @@ def _labelled(x: np.ndarray, shingle: int) -> np.ndarray:
     return mix(runs[by].view(np.uint64) + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def _rare_items(sequences: DataFrame, shingle: int, similarity: float, slots: int = SLOTS) -> DataFrame:
-    """item, node, n: the rarest items of each text that two similar texts cannot both miss.
+def _rare_items(sequences: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """item, node, n: the rarest items of each text that two similar texts cannot both miss, as far as others hold them.
 
-    Rarity is a count per slot of ``slots`` hash slots, a table that stays the same size at every input. Any order
-    that all texts follow is exact; counts only make it a fast one.
+    Rarity is the exact number of texts that hold an item. Items of one text alone come first in the order and meet
+    nobody, so only their number matters.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                np.add.at(total, (_labelled(x.values.to_numpy().astype(np.int64), shingle) % np.uint64(slots)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+            items = [_labelled(x.values.to_numpy().astype(np.int64), shingle) for x in b.column(1)]
+            sizes = np.array([len(h) for h in items], np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *items]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], ["item", "node", "n"])
 
-    counts = np.zeros(slots, np.int64)
-    for r in sequences.select("words").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["slot"]] = r["n"]
-    shared = sequences.sparkSession.sparkContext.broadcast(counts)
+    every = sequences.select("node", "words").mapInArrow(scan, "item long, node long, n int")
+    # written, so that Spark can split the rows of a hot item
+    counts = materialise(every.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1"), "item-counts")
+    shared = every.join(counts, "item").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("s"))
+    most = F.floor((1 - similarity) * F.col("n") + 1e-9).cast("int") + 1 - (F.col("n") - F.size("s"))
+    return shared.filter(most > 0).select(F.explode(F.slice("s", 1, F.greatest(most, F.lit(0)))).alias("i"), "node", "n").select("i.item", "node", "n")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in batches:
-            items, nodes, sizes = [np.zeros(0, np.int64)], [], []
-            for node, x in zip(b.column(0).to_pylist(), b.column(1)):
-                h = _labelled(x.values.to_numpy().astype(np.int64), shingle)
-                first = np.lexsort((h, known[(h % np.uint64(slots)).astype(np.int64)]))[: _most(len(h), similarity) + 1]
-                items.append(h[first].view(np.int64))
-                nodes += [node] * len(first)
-                sizes += [len(h)] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())], ["item", "node", "n"])
 
-    return sequences.select("node", "words").mapInArrow(scan, "item long, node long, n int")
+def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _apart(keyed_nodes: DataFrame, key: str, roots: DataFrame, turn: int = 0) -> DataFrame:
-    """The rows whose key holds several components, with ``root`` and ``x``, a row of one of them, another each turn."""
-    here = keyed_nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    here = materialise(here, "placed")
-    mixed = materialise(here.groupBy(key).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "node", "n")).alias("x")).filter("_lo < _hi").select(key, "x"), "mixed")
-    return materialise(here.join(mixed, key), "apart")
+def _apart(placed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key holds several components."""
+    mixed = placed.groupBy(key).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select(key)
+    return placed.join(materialise(mixed, "mixed"), key)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links: components of the components."""
+    tops = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    tops = tops.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    up = components(tops)
+    known = roots.unionByName(up.select("node", F.col("node").alias("root"))).distinct()
+    up = up.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+    return materialise(known.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), "labels")
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES, kept: int = KEPT) -> DataFrame:
@@ -319,26 +318,26 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     tried = materialise(pairs, "pairs")
     edges = materialise(_verified(tried, sequences, shingle, similarity), "links")
     roots = components(edges)
-    apart = _apart(members.select("bucket", "node", F.lit(0).alias("n")), "bucket", roots).select("node").distinct()
+    apart = _apart(materialise(_placed(members.select("bucket", "node"), roots), "placed"), "bucket").select("node").distinct()
     items = materialise(_rare_items(sequences.join(apart, "node"), shingle, similarity), "rare-items")
-    # no longer text than this can be similar
-    near = lambda m: F.abs(F.col("n") - F.col(m)) <= F.floor((1 - similarity) * F.greatest("n", m) + 1e-9)
-    for turn in range(HUB_TURNS + 1):
-        last = turn == HUB_TURNS
-        here = _apart(items, "item", roots, turn)
+    hubs = 1
+    while True:
+        here = materialise(_apart(materialise(_placed(items, roots), "placed"), "item"), "apart")
         if here.isEmpty():
             break
-        if last:
-            other = here.select("item", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-            pairs = here.join(other, "item").filter((F.col("root") < F.col("rb")) & near("nb"))
-        else:
-            pairs = here.filter(F.col("root") != F.col("x.root")).select("node", "n", F.col("x.node").alias("b"), F.col("x.n").alias("nb")).filter(near("nb"))
+        turn = Window.partitionBy("item").orderBy(F.xxhash64("node"), "node")
+        chosen = materialise(here.withColumn("r", F.row_number().over(turn)).filter(F.col("r") <= hubs).select("item", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")), "hubs")
+        # no text whose length differs by more can be similar
+        near = F.abs(F.col("n") - F.col("nb")) <= F.floor((1 - similarity) * F.greatest("n", "nb") + 1e-9)
+        pairs = here.join(chosen, "item").filter((F.col("root") != F.col("rb")) & near)
         pairs = materialise(_ordered(pairs.select(F.col("node").alias("a"), "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        more = materialise(_verified(pairs, sequences, shingle, similarity), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            roots = components(edges)
+        links = materialise(_verified(pairs, sequences, shingle, similarity), "links")
+        if not links.isEmpty():
+            roots = _joined(roots, links)
+        # a hub has met all of its item
+        items = here.select("item", "node", "n").join(chosen.select("item", F.col("b").alias("node")), ["item", "node"], "left_anti")
+        hubs *= HUB_GROWTH
     # one row per node before anything is joined, so that equal texts are one row; the rows themselves meet it once
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_key")).alias("_f"), F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = materialise(nodes, "nodes")
