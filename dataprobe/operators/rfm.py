@@ -159,12 +159,61 @@ def rfm_kmeans(base: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
         KMeans(k=k, seed=seed, predictionCol="cluster"),
     ])
     out = pipe.fit(rows).transform(rows).drop("_raw", "features")
+    return _named(out)
+
+
+def _named(out: DataFrame) -> DataFrame:
+    """Add ``segment``, the name of each row's cluster."""
     # k rows
     means = out.groupBy("cluster").agg(F.avg("monetary").alias("m"), F.avg("recency").alias("r")).collect()
     by_value = sorted(means, key=lambda c: (-c["m"], c["cluster"]))
     rest = sorted(by_value[2:], key=lambda c: (-c["r"], c["cluster"]))
     names = {c["cluster"]: CLUSTER_NAMES[min(i, 3)] for i, c in enumerate(by_value[:2] + rest)}
-    label = None
+    label = F.lit(None).cast("string")
     for c, name in names.items():
-        label = F.when(F.col("cluster") == c, name) if label is None else label.when(F.col("cluster") == c, name)
+        label = F.when(F.col("cluster") == c, name).otherwise(label)
     return out.withColumn("segment", label)
+
+
+def rfm_clusters(base: DataFrame, k: int = 4, rounds: int = 20) -> DataFrame:
+    """``base`` with ``cluster, segment``: K-Means without a seed, so that every run and engine gives the same clusters.
+
+    Values are standardised. The first centre is the entity farthest from the mean, each next one the farthest from the
+    centres so far (ties: the smallest entity); then at most ``rounds`` Lloyd rounds, each one grouped aggregate over a written
+    table with the centres as literals. Ties go to the lower cluster, an empty cluster keeps its centre. Missing recency
+    counts as in ``rfm_kmeans``, rows without frequency or value are left out; fewer different entities than ``k`` give
+    fewer clusters. Names are given as in ``rfm_kmeans``.
+    """
+    names = ["recency", "frequency", "monetary"]
+    rows = base.na.fill({"recency": MISSING_DATE_DAYS}).na.drop(subset=names)
+    stats = rows.agg(*[f(c) for c in names for f in (F.avg, F.stddev_samp)]).first()
+    scaled = [(F.col(c).cast("double") - F.lit(stats[2 * i])) / F.lit(stats[2 * i + 1] or 1.0) for i, c in enumerate(names)]
+    axes = ["_x", "_y", "_z"]
+    rows = materialise(rows.withColumns(dict(zip(axes, scaled))), "clusters")
+
+    def apart(centre):
+        return sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(axes, centre)), F.lit(0.0))
+
+    def nearest(centres):
+        if len(centres) == 1:
+            return F.lit(0)
+        least = F.least(*map(apart, centres))
+        label = F.lit(len(centres) - 1)
+        for j in reversed(range(len(centres) - 1)):
+            label = F.when(apart(centres[j]) == least, j).otherwise(label)
+        return label
+
+    centres: list[tuple[float, ...]] = []
+    while len(centres) < k:
+        far = F.least(*map(apart, centres)) if len(centres) > 1 else apart(centres[0] if centres else (0.0, 0.0, 0.0))
+        seed = rows.select(*axes, "entity", far.alias("_d")).orderBy(F.desc("_d"), "entity").first()
+        if seed is None or (centres and seed["_d"] == 0):
+            break
+        centres.append(tuple(seed[c] for c in axes))
+    for _ in range(rounds if centres else 0):
+        found = {r["cluster"]: tuple(r[c] for c in axes) for r in rows.groupBy(nearest(centres).alias("cluster")).agg(*[F.avg(c).alias(c) for c in axes]).collect()}
+        new = [found.get(j, c) for j, c in enumerate(centres)]
+        if new == centres:
+            break
+        centres = new
+    return _named(rows.withColumn("cluster", nearest(centres or [(0.0, 0.0, 0.0)])).drop(*axes))

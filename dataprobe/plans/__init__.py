@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = (
-    "scans", "shaping", "joins", "aggregates", "series_windows", "ranking", "scalars", "profiling", "business", "forecasting", "segments", "modelling", "causes", "questions", "search", "raw_series",
+    "scans", "shaping", "joins", "aggregates", "series_windows", "ranking", "scalars", "profiling", "business", "forecasting", "segments", "modelling", "causes", "questions", "search", "raw_series", "exact",
 )
 
 
