@@ -175,6 +175,11 @@ def _unpack(b: bytes, kind, delta: bool = False) -> np.ndarray:
 _DEALT = "p int, pack long, bigrams binary, texts binary, hot binary, hot_n binary, words binary, word_before binary, word_texts binary, after binary, follow binary, after_texts binary, keys binary"
 
 
+def _bucket_of(pack: int, buckets: int) -> int:
+    """The bucket that keeps a pack's keys; hashed, since packs of different tasks lie 2^24 apart."""
+    return int(mix(np.array([pack], np.uint64))[0] % np.uint64(buckets))
+
+
 def _dealt(base: DataFrame, words, buckets: int) -> DataFrame:
     """Occurrences by bucket: bigram keys and the text of each (place in its pack, twice, plus one for training), counted
     hot bigrams, rare words with the class before and theirs, rare histories with the follower (class or hash) and theirs;
@@ -204,7 +209,7 @@ def _dealt(base: DataFrame, words, buckets: int) -> DataFrame:
                     for n, v in zip(names[2:-1], packed):
                         rows[n].append(v)
                     rows["keys"].append(None)
-            rows["p"].append(pack % buckets)
+            rows["p"].append(_bucket_of(pack, buckets))
             for n in names[2:-1]:
                 rows[n].append(None)
             rows["keys"].append(_pack(np.concatenate(keys)))

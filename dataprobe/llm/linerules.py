@@ -87,8 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    # at most ``sample`` rows of an id and a flag: the texts need no shuffle to find them
-    train = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).persist()
+    # at most ``sample`` rows of an id and a flag: the texts need no shuffle to find them; equal texts have one label, and ids
+    # that repeat with different texts bring no more than ``sample`` of them
+    train = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("text"), "text").limit(sample).persist()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -144,3 +144,13 @@ def test_buckets_follow_the_tokens(spark, monkeypatch):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 50)
     buckets = katz.fit(spark.createDataFrame(rows, "doc_id long, text string"), common=600)[2]
     assert buckets.count() > 600 > int(spark.conf.get("spark.sql.shuffle.partitions")) * katz.BUCKETS_PER_PARTITION
+
+
+def test_packs_spread_over_buckets():
+    buckets = 64 * katz.BUCKETS_PER_PARTITION
+    held = [0] * buckets
+    for task in range(2000):
+        for pack in range(17):
+            held[katz._bucket_of((task << 24) + pack, buckets)] += 1
+    mean = 2000 * 17 / buckets
+    assert min(held) > 0 and max(held) < 3 * mean
