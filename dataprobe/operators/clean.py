@@ -84,13 +84,15 @@ def clean(
     impute_missing: bool = True,
     mark_outliers: bool = True,
     output: str | None = None,
+    exact: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and a one-row report. ``order_by`` names the cleaned columns that order the rows."""
+    """The cleaned table and a one-row report. ``order_by`` names the cleaned columns that order the rows,
+    ``exact`` goes to the profile."""
     spark = df.sparkSession
     original = df.count()
     base = sanitise_columns(df.dropDuplicates() if remove_duplicates else df)
     base = materialise(base, "clean-base")  # several passes read it
-    facts = profile(base).select("column_name", "detected_type", "missing_count", "rows", "family").collect()
+    facts = profile(base, exact).select("column_name", "detected_type", "missing_count", "rows", "family").collect()
     rows = facts[0]["rows"] if facts else 0
     pick = lambda *kinds: [r["column_name"] for r in facts if r["detected_type"] in kinds]
     missing = {r["column_name"] for r in facts if r["missing_count"] > 0}

@@ -22,11 +22,14 @@ def option_lists(df: DataFrame, columns: list[str], k: int = OPTIONS) -> DataFra
 
 
 def dashboard(
-    df: DataFrame, order_by: list[str], filters: dict | None = None, date_col: str | None = None, categorical: list[str] | None = None
+    df: DataFrame, order_by: list[str], filters: dict | None = None, date_col: str | None = None, categorical: list[str] | None = None, exact: bool = True
 ) -> dict[str, DataFrame]:
-    """All parts by name. Options come from the whole table; the filtered rows are written once for the rest."""
+    """All parts by name. Options come from the whole table; the filtered rows are written once for the rest.
+
+    ``exact`` goes to the profile that finds categorical columns where none are named.
+    """
     if categorical is None:
-        categorical = [r["column_name"] for r in profile(df).filter("is_categorical").select("column_name").collect()]
+        categorical = [r["column_name"] for r in profile(df, exact).filter("is_categorical").select("column_name").collect()]
     rows = materialise(filter_equal(df, filters or {}), "dashboard")
     kpis = kpi.kpi_table_by_role(rows, date_col)
     out = {"kpis": kpis, "alerts": kpi.alerts(kpis), "row_count": rows.agg(F.count(F.lit(1)).alias("rows"))}

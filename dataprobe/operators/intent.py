@@ -85,8 +85,8 @@ class Catalogue:
     target: str | None = None
 
     @classmethod
-    def of(cls, df: DataFrame, target: str | None = None) -> "Catalogue":
-        rows = profile(df).select("column_name", "is_categorical", "is_date", "is_numeric").collect()
+    def of(cls, df: DataFrame, target: str | None = None, exact: bool = True) -> "Catalogue":
+        rows = profile(df, exact).select("column_name", "is_categorical", "is_date", "is_numeric").collect()
         pick = lambda k: [r["column_name"] for r in rows if r[k]]
         return cls(pick("is_categorical"), pick("is_date"), pick("is_numeric"), target)
 

@@ -45,6 +45,8 @@ def is_numeric(df: DataFrame, column: str) -> bool:
 
 # ---------------------------------------------------------------- categories
 
+MAX_CLASSES = 10_000
+
 def category_levels(df: DataFrame, columns: list[str], max_levels: int = 50, fill: str | None = None) -> dict[str, list[str]]:
     """Sorted values of each column that has at most ``max_levels`` of them.
 
@@ -61,10 +63,16 @@ def category_levels(df: DataFrame, columns: list[str], max_levels: int = 50, fil
     return {c: sorted(v) for c, v in levels.items() if len(v) <= max_levels}
 
 
-def class_levels(df: DataFrame, column: str) -> list[str]:
-    """Sorted classes of a target, however many: a model holds a table per class anyway."""
+def class_levels(df: DataFrame, column: str, max_classes: int = MAX_CLASSES) -> list[str]:
+    """Sorted classes of a target; more than ``max_classes`` are an error, since a model holds a table per class.
+
+    At most ``max_classes + 1`` values reach the driver.
+    """
     value = F.col(column).cast("string").alias("v")
-    return [r["v"] for r in df.select(value).na.drop().distinct().orderBy("v").collect()]
+    levels = [r["v"] for r in df.select(value).na.drop().distinct().orderBy("v").limit(max_classes + 1).collect()]
+    if len(levels) > max_classes:
+        raise ValueError(f"{column} has more than {max_classes} classes: it is text, not a class")
+    return levels
 
 
 def class_codes(column: str, levels: list[str]) -> Column:

@@ -65,12 +65,12 @@ def score_expr() -> Column:
     return F.greatest(F.lit(10), F.least(F.lit(100), half_even(100.0 - penalty, 0).cast("int")))
 
 
-def quality_report(df: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def quality_report(df: DataFrame, profiles: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """One row: score, counts, constant columns, invalid values.
 
-    Reads ``df`` several times; give it a written table when it is expensive to compute.
+    Reads ``df`` several times; give it a written table when it is expensive to compute. ``exact`` goes to the profile.
     """
-    profiles = profiles if profiles is not None else materialise(profile(df), "profile")
+    profiles = profiles if profiles is not None else materialise(profile(df, exact), "profile")
     numeric = [r["column_name"] for r in profiles.filter("is_numeric").select("column_name").collect()]
     names = F.array_sort(F.collect_list("column_name"))
     base = profiles.agg(

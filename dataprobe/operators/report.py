@@ -27,14 +27,14 @@ def findings(name: str, columns: int, quality: DataFrame, narrative: DataFrame)
 
 def executive_report(
     df: DataFrame, name: str, order_by: list[str], *, target: str | None = None, ts: str | None = None, start=None, end=None,
-    with_models: bool = True,
+    with_models: bool = True, exact: bool = True,
 ) -> dict[str, DataFrame]:
     """Key figures, quality, root cause, drivers, charts and key findings.
 
-    The input is written once; every part reads only its own columns from there.
+    The input is written once; every part reads only its own columns from there. ``exact`` goes to the profile.
     """
     base = materialise(df, "report")
-    profiles = materialise(profile(base), "report-profile")
+    profiles = materialise(profile(base, exact), "report-profile")
     quality = materialise(quality_report(base, profiles), "report-quality")
     target = target or best_target(profiles) or roles.root_cause_target(base)
     ts = ts or roles.date_column(base)

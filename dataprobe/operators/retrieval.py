@@ -31,17 +31,17 @@ def _chunk(place: Column, id_: Column, keywords: Column, text: Column) -> list[C
     return [place.cast("int").alias("place"), id_.alias("chunk_id"), keywords.alias("keywords"), text.alias("text")]
 
 
-def knowledge_chunks(df: DataFrame, domain: str = "generic") -> DataFrame:
+def knowledge_chunks(df: DataFrame, domain: str = "generic", exact: bool = True) -> DataFrame:
     """``place, chunk_id, keywords, text``: one row per column plus overview, correlations and domain.
 
-    The table is written once, since every kind of chunk reads it.
+    The table is written once, since every kind of chunk reads it. ``exact`` goes to the profile.
     """
     df = materialise(df, "known")
     numeric = columns_of(df, "numeric")
     dates = [f.name for f in df.schema if isinstance(f.dataType, TEMPORAL) or (f.name not in numeric and any(p in f.name.lower() for p in DATE_PARTS))]
     texts = [c for c in df.columns if c not in numeric and c not in dates]
     spaced = lambda c: F.lower(F.translate(c, "_", " "))
-    facts = materialise(profile(df), "known-profile").select("column_name", "position", "rows", "distinct_count", "missing_count")
+    facts = materialise(profile(df, exact), "known-profile").select("column_name", "position", "rows", "distinct_count", "missing_count")
     null_pct = F.format_string("%.1f", half_even(ratio(F.col("missing_count"), F.greatest(F.col("rows"), F.lit(1))) * 100, 1))
     n = len(df.columns)
     parts: list[DataFrame] = []

@@ -15,6 +15,7 @@ deleted when it ends, so results must be written or collected before.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,18 +29,25 @@ def _local_base() -> str:
     return tempfile.mkdtemp(prefix="dataprobe-")
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """The open scopes of one thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables written inside, through the file system that holds them."""
+    """Delete the tables that this thread writes inside, through the file system that holds them."""
     paths: list[str] = []
-    _scopes.append(paths)
+    _scopes.open.append(paths)
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scopes.open.remove(paths)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in paths:
             place = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,8 +62,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_base()
     path = f"{base.rstrip('/')}/dataprobe-{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
