@@ -218,6 +218,15 @@ def assemble(frame: DataFrame, used: list[str]) -> DataFrame:
     return va.transform(frame)
 
 
+#: rows of one partition of a forest's input: a learner keeps a number per tree of each row, some 600 bytes for 100 trees
+FOREST_ROWS = 250_000
+
+
+def forest_rows(frame: DataFrame, used: list[str]) -> DataFrame:
+    """The assembled rows to fit a forest on, in partitions that memory holds whatever the table's size."""
+    return assemble(spread(frame, FOREST_ROWS), used)
+
+
 def stratified_split(df: DataFrame, label: str, key: list[str], test_share: float = 0.25, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(n * share)`` rows of each class, chosen by a seeded hash of the key.
 
@@ -264,6 +273,8 @@ def risk_model(
     df: DataFrame, target: str, key: list[str], *, trees: int = 100, depth: int = 6, seed: int = 42, test_share: float | None = None
 ) -> Fitted:
     """Random forest on a derived risk label, leakage removed, scored on a stratified hold-out."""
+    # labels, leakage, levels and medians each read the rows; a column without a type is all null and cannot be written
+    df = materialise(df.select(*[f.name for f in df.schema if not isinstance(f.dataType, T.NullType)]), "risk-input")
     label = binary_label(df, target)
     used_cols = leakage_free(df.drop(*key), label.source)
     if not used_cols:
@@ -275,13 +286,12 @@ def risk_model(
     rows = materialise(stratified_split(frame, "label", key, test_share, seed), "risk")
     if not has_variation(rows):
         raise ValueError("target has too little variation")
-    vec = assemble(spread(rows), used)
     rf = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
         maxBins=_max_bins(), seed=seed,
     )
-    model = rf.fit(vec.filter(~F.col("is_test")))
-    return Fitted(model, used, _score(model, vec.filter("is_test")))
+    model = rf.fit(forest_rows(rows, used).filter(~F.col("is_test")))
+    return Fitted(model, used, _score(model, assemble(spread(rows), used).filter("is_test")))
 
 
 def risk_contributions(fit: Fitted, top: int = 8) -> DataFrame:
@@ -309,27 +319,29 @@ def target_drivers(
     The fit uses all rows, as an explanation of the whole table; the held-out score comes from a second
     fit without the test rows.
     """
-    rows = df.filter(F.col(target).isNotNull())
     parts = ("id", "uuid", "code", "index", "unnamed")
     features = [c for c in columns_of(df, "numeric") if c != target and not is_id_like(c, parts)]
     if not features:
         raise ValueError("no numeric features")
+    # the target's kind, medians, correlations and the fits each read the rows
+    hashed = F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")
+    rows = materialise(df.filter(F.col(target).isNotNull()).select(target, *features, hashed), "drivers-input")
     classify = is_classification(rows, target)
     if classify:
         y = class_codes(target, class_levels(rows, target))
     else:
         y = F.coalesce(as_double(target), F.lit(0.0))
-    keep = [y if classify else y.alias("label"), F.xxhash64(*(key or df.columns), F.lit(seed)).alias("_h")]
-    frame, used = feature_frame(rows, features, keep)
-    vec = assemble(spread(materialise(frame, "drivers")), used)
+    frame, used = feature_frame(rows, features, [y if classify else y.alias("label"), "_h"])
+    frame = materialise(frame, "drivers")
+    fitted, vec = forest_rows(frame, used), assemble(spread(frame), used)
     maker, subset = (RandomForestClassifier, "sqrt") if classify else (RandomForestRegressor, "all")
     rf = maker(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=_max_bins(),
         featureSubsetStrategy=subset,
     )
-    full = rf.fit(vec)
+    full = rf.fit(fitted)
     is_test = F.pmod("_h", F.lit(1000)) < int(test_share * 1000)
-    held = rf.fit(vec.filter(~is_test))
+    held = rf.fit(fitted.filter(~is_test))
     fit = Fitted(full, used, _score(full, vec))
     direction = driver_direction(rows, y, features)
     impact = ladder(F.col("importance"), [(0.2, "High"), (0.08, "Medium")], "Moderate")

@@ -164,6 +164,12 @@ def _features(df: DataFrame, target: str, extra: tuple[str, ...] = ()) -> list[s
     return [c for c in df.columns if c != target and not c.startswith(extra or ("\0",)) and not models.is_id_like(c, FEATURE_ID_PARTS)]
 
 
+def _usable(df: DataFrame, features: list[str]) -> list[str]:
+    """The numbers and texts among the features; the others never enter a forest."""
+    kinds = {*columns_of(df, "numeric"), *columns_of(df, "string")}
+    return [c for c in features if c in kinds]
+
+
 def _relation(r: Column) -> Column:
     return (
         F.when(r > 0.3, "strongly positively correlated")
@@ -176,12 +182,13 @@ def regression_drivers(
     df: DataFrame, metric: str, *, trees: int = 50, depth: int = 5, top: int = 5, seed: int = 42, key: list[str] | None = None
 ) -> DataFrame:
     """Top features of a forest for the metric with correlation and wording."""
-    features = _features(df, metric, ("_dt", "in_p"))
+    features = _usable(df, _features(df, metric, ("_dt", "in_p")))
+    source, df = df, materialise(df.select(metric, *features), "rootcause-input")
     y = F.coalesce(as_double(metric), F.lit(0.0))
     frame, used = models.feature_frame(df, features, [y.alias("label")], max_levels=30)
     if not used:
-        frame, used = _record_index(df, y, key)
-    vec = models.assemble(spread(materialise(frame, "rootcause")), used)
+        frame, used = _record_index(source, y, key)
+    vec = models.forest_rows(materialise(frame, "rootcause"), used)
     rf = RandomForestRegressor(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all"
     )
@@ -255,15 +262,18 @@ def classifier(
     df: DataFrame, target: str, *, trees: int = 60, depth: int = 6, top: int = 5, seed: int = 42, key: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """True in-sample metrics of a forest for the class, and its top features."""
-    rows = df.filter(F.col(target).isNotNull())
+    source, features = df.filter(F.col(target).isNotNull()), _usable(df, _features(df, target))
+    # classes, levels, medians and features each read the rows
+    rows = materialise(source.select(target, *features), "classifier-input")
     levels = models.class_levels(rows, target)
     code = models.class_codes(target, levels)
-    frame, used = models.feature_frame(rows, _features(rows, target), [code], max_levels=30)
+    frame, used = models.feature_frame(rows, features, [code], max_levels=30)
     if not used:
-        frame, used = _record_index(rows, code, key)
-    vec = models.assemble(spread(materialise(frame, "classifier")), used)
+        frame, used = _record_index(source, code, key)
+    frame = materialise(frame, "classifier")
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    model = rf.fit(vec)
+    model = rf.fit(models.forest_rows(frame, used))
+    vec = models.assemble(spread(frame), used)
     scored = model.transform(vec).select("label", "prediction")
     score = metrics.binary_metrics(scored).drop("tp", "fp", "fn", "tn") if len(levels) <= 2 else metrics.weighted_metrics(scored)
     best = models.Fitted(model, used, vec).importances().orderBy(F.col("importance").desc(), "feature").limit(top)

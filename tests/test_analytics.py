@@ -457,3 +457,37 @@ def test_audit_of_a_long_literal(spark):
     long = "SELECT '" + "drop ''x'' " * 20000 + "' AS a"
     df = spark.createDataFrame([(long,)], "statement string")
     assert sqlsurface.audit(df).first()["verdict"] == "safe"
+
+
+def test_forests_read_their_input_once_and_in_bounded_partitions(spark, monkeypatch):
+    from dataprobe.scratch import materialise, spread
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 600
+    plain = spark.range(n).select(
+        F.concat(F.lit("o"), "id").alias("order_id"), (F.col("id") % 7).cast("double").alias("a"), F.pmod(F.xxhash64("id"), F.lit(90)).cast("double").alias("b"),
+        F.element_at(F.array(F.lit("x"), F.lit("y")), (F.col("id") % 2 + 1).cast("int")).alias("kind"), (F.col("id") % 7 < 3).cast("int").alias("flag"),
+        (F.col("id") % 7 * 10 + F.rand(1)).alias("revenue"),
+    )
+    df = plain.mapInArrow(counted, plain.schema)
+    sizes = []
+    monkeypatch.setattr(models, "FOREST_ROWS", 40)
+    whole = models.assemble
+    monkeypatch.setattr(models, "assemble", lambda frame, used: sizes.append(frame.rdd.getNumPartitions()) or whole(frame, used))
+    fits = (
+        lambda: rootcause.classifier(df, "flag", trees=3, depth=2), lambda: rootcause.regression_drivers(df, "revenue", trees=3, depth=2),
+        lambda: models.target_drivers(df, "revenue", trees=3, depth=2, key=["order_id"]), lambda: models.risk_model(df, "flag", ["order_id"], trees=3, depth=2),
+    )
+    for fit in fits:
+        read.value = 0
+        sizes.clear()
+        fit()
+        assert read.value == n and max(sizes) >= n / 40
+    table = materialise(plain, "plain")
+    assert spread(table, 40).rdd.glom().map(len).max() <= 80 and spread(table, 40).count() == n
