@@ -87,8 +87,13 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, value, count`` over several columns as text, nulls excluded."""
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    """``column, value, count`` over several columns as text, nulls excluded.
+
+    Rows are dealt to tasks of the planner's size first: a task groups all columns' values of its rows in memory, and a split of
+    a file that packs well holds many rows.
+    """
+    dealt = df.select(*columns).hint("rebalance")
+    text = dealt.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 

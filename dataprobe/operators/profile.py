@@ -110,9 +110,9 @@ def _value_facts(df: DataFrame, exact: bool) -> DataFrame:
     """
     keys = [f"c{i}" for i in range(len(df.columns))]
     flat = df.toDF(*keys)
-    clean = flat.select(*[F.when(~is_missing(f.name, f.dataType), F.col(f.name)).cast("string").alias(f.name) for f in flat.schema])
+    clean = flat.select(*[F.when(~is_missing(f.name, f.dataType), F.col(f.name)).alias(f.name) for f in flat.schema])
     if not exact:
-        tall = clean.unpivot([], keys, "key", "v")
+        tall = clean.select(*[F.col(k).cast("string").alias(k) for k in keys]).unpivot([], keys, "key", "v")
         frequent = F.expr(f"transform(approx_top_k(v, {SAMPLES}), x -> x.item)")
         return tall.groupBy("key").agg(
             F.approx_count_distinct("v", 0.01).alias("distinct_count"),

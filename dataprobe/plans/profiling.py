@@ -211,7 +211,7 @@ def target_ranking_query(spark, sf_dir):
         "order_id", "customer_id", "quantity", "discount", "revenue", F.col("priority").alias("order_status"),
         F.col("revenue").alias("total_price"),
     )
-    return target_ranking(profile(s)).select("column_name", "priority", "reason")
+    return target_ranking(profile(materialise(s, "ranking"))).select("column_name", "priority", "reason")
 
 
 # ------------------------------------------------------------------- cleaning

@@ -491,3 +491,18 @@ def test_forests_read_their_input_once_and_in_bounded_partitions(spark, monkeypa
         assert read.value == n and max(sizes) >= n / 40
     table = materialise(plain, "plain")
     assert spread(table, 40).rdd.glom().map(len).max() <= 80 and spread(table, 40).count() == n
+
+
+def test_values_are_counted_in_tasks_of_bounded_size(spark):
+    from dataprobe.operators.aggregates import value_counts_by_column
+
+    df = spark.range(300_000, numPartitions=1).select(F.col("id").alias("a"), (F.col("id") * 7 % 1000).alias("b"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        counts = value_counts_by_column(df, ["a", "b"])
+        assert {r["column"]: (r["n"], r["rows"]) for r in counts.groupBy("column").agg(F.count("*").alias("n"), F.sum("count").alias("rows")).collect()} == {"a": (300_000, 300_000), "b": (1000, 300_000)}
+        # the rows of one split reach the grouping in several tasks: each b is counted in each of them
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") < plan.index("Expand") < plan.index("RebalancePartitions")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
