@@ -49,9 +49,9 @@ def two_decimals(c: Column) -> Column:
     return F.regexp_replace(F.round(c.cast("double"), 2).cast("decimal(38,2)").cast("string"), "0$", "")
 
 
-def _measure(tall: DataFrame, fam: str) -> DataFrame:
-    """Counts and range per key of a (key, v) table of one family."""
-    v, zero = F.col("v"), F.lit(0).cast("long")
+def _measures(v: Column, fam: str) -> list[Column]:
+    """Counts and range of the values of one family."""
+    zero = F.lit(0).cast("long")
     if fam == "number":
         known = F.when(~F.isnan(v), v)
         parts = [F.count_if(~known.isin(0, 1)), F.count_if(known % 1 != 0), zero, two_decimals(F.min(known)), two_decimals(F.max(known))]
@@ -64,9 +64,15 @@ def _measure(tall: DataFrame, fam: str) -> DataFrame:
         ends = [text(F.min(v)), text(F.max(v))] if fam == "datetime" else [F.lit(None).cast("string")] * 2
         parts = [zero, zero, zero, *ends]
     names = ("not_boolean", "fractions", "dates", "lo", "hi")
-    return tall.groupBy("key").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(known.isNull()).alias("missing_count"), *[p.alias(n) for p, n in zip(parts, names)]
-    )
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(known.isNull()).alias("missing_count"), *[p.alias(n) for p, n in zip(parts, names)]]
+
+
+def _measure(flat: DataFrame, keys: list[str], fam: str) -> DataFrame:
+    """Counts and range per column of one family. Texts are not stacked: grouped least and greatest texts would be sorted first."""
+    if fam == "string":
+        row = flat.agg(*[F.struct(F.lit(k).alias("key"), *_measures(F.col(k), fam)).alias(k) for k in keys])
+        return row.select(F.explode(F.array(*keys)).alias("s")).select("s.*")
+    return flat.unpivot([], keys, "key", "v").groupBy("key").agg(*_measures(F.col("v"), fam))
 
 
 # how each family is measured, and as what type
@@ -79,8 +85,8 @@ _MEASURED = {
 def column_facts(df: DataFrame) -> DataFrame:
     """One row per column: position, schema family and measurements.
 
-    Columns of one family are stacked and grouped by column: each is read once, a task shuffles one record
-    per column, and the aggregate stays small however wide the table.
+    Columns of one family are stacked and grouped by column, texts are one wide aggregate: each is read once, a task
+    shuffles one record per column and keeps no rows.
     """
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     families = [_family(f.dataType) for f in df.schema]
@@ -96,8 +102,7 @@ def column_facts(df: DataFrame) -> DataFrame:
             continue
         # of a nested column only the gaps are measured
         value = lambda i: F.col(f"c{i}").cast(_MEASURED[families[i]][1]) if families[i] != "other" else F.when(F.col(f"c{i}").isNotNull(), True)
-        tall = flat.select(*[value(i).alias(f"c{i}") for i in at]).unpivot([], [f"c{i}" for i in at], "key", "v")
-        part = _measure(tall, fam)
+        part = _measure(flat.select(*[value(i).alias(f"c{i}") for i in at]), [f"c{i}" for i in at], fam)
         facts = part if facts is None else facts.unionByName(part)
     return known.join(F.broadcast(facts), "key", "left").na.fill(0, ["rows", "missing_count", "not_boolean", "fractions", "dates"])
 

@@ -506,3 +506,13 @@ def test_values_are_counted_in_tasks_of_bounded_size(spark):
         assert plan.index("Aggregate") < plan.index("Expand") < plan.index("RebalancePartitions")
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_facts_of_texts_sort_no_rows(spark):
+    from dataprobe.operators.profile import column_facts
+
+    df = spark.createDataFrame([("b", "2024-01-02", 1), (None, "x", 2), ("a", "1", 3)], "s string, t string, n int")
+    facts = {r["column_name"]: (r["rows"], r["missing_count"], r["not_boolean"], r["dates"], r["lo"], r["hi"]) for r in column_facts(df).collect()}
+    assert facts == {"s": (3, 1, 2, 0, "a", "b"), "t": (3, 0, 2, 1, "1", "x"), "n": (3, 0, 2, 0, "1.0", "3.0")}
+    assert [r["rows"] for r in column_facts(df.limit(0)).collect()] == [0, 0, 0]
+    assert "Sort " not in column_facts(df)._jdf.queryExecution().executedPlan().toString()
