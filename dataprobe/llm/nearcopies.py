@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 SKETCHES = 32
 KEPT = 4
 #: a rare item compares its texts with one of them first, then with this many times as many each turn
-HUB_GROWTH = 4
+HUB_GROWTH = 16
 
 
 def _items(w: Hashed, shingle: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 
+from dataprobe.llm import components as parts
 from dataprobe.llm import nearcopies
 from dataprobe.llm.components import components
 from dataprobe.llm.text import Hashed, encode, words
+from dataprobe.scratch import materialise
 
 
 def plain_distance(a, b):
@@ -104,6 +106,19 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_few_edges_take_one_step(spark, monkeypatch):
+    """A small forest is written twice, whatever its chains; a larger one is followed in rounds, to the same labels."""
+    rng = random.Random(5)
+    edges = [(i + 1, i) for i in range(60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    monkeypatch.setattr(parts, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    few = sorted(tuple(r) for r in components(df).select("node", "root").collect())
+    assert written == ["forest", "labels"]
+    monkeypatch.setattr(parts, "FEW", 0)
+    assert sorted(tuple(r) for r in components(df).select("node", "root").collect()) == few and len(written) > 4
+
+
 def test_sketch_keeps_order():
     w = Hashed([encode("a b c d e f g h i j k l m n o p"), encode("i j k l m n o p a b c d e f g h"), encode("a b c d e f g h i j k l m n o p")])
     h, doc = nearcopies._items(w, 1)
