@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.text import Hashed, chunks, column, encode, free_names, keyed, mix, same_row
+from dataprobe.llm.text import Hashed, column, encode, free_names, keyed, mix, portions, same_row
 from dataprobe.scratch import materialise
 
 WINDOW = 13
@@ -79,13 +79,11 @@ def item_prints(items: DataFrame, item_id: str, text: str, gram: int, window: in
     ids = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws, names = [encode(t) for t in column(b, "text")], column(b, "item_id")
-            for lo, hi in chunks(raws):
-                w = Hashed(raws[lo:hi])
-                for fp, at, before, k in _prints(w, gram, window, list(range(1, window)), True):
-                    d = _rows(w, names[lo:hi], fp, at, before, k, 2 * window - gram)
-                    yield pa.RecordBatch.from_pydict({"fp": d["fp"], "item_id": pa.array(d["row"], b.schema.field("item_id").type), "i_at": d["at"], "short": d["short"], "i_ctx": pa.array(d["ctx"], pa.list_(pa.int64()))})
+        for b in portions(batches, "text"):
+            names, w = column(b, "item_id"), Hashed([encode(t) for t in column(b, "text")])
+            for fp, at, before, k in _prints(w, gram, window, list(range(1, window)), True):
+                d = _rows(w, names, fp, at, before, k, 2 * window - gram)
+                yield pa.RecordBatch.from_pydict({"fp": d["fp"], "item_id": pa.array(d["row"], b.schema.field("item_id").type), "i_at": d["at"], "short": d["short"], "i_ctx": pa.array(d["ctx"], pa.list_(pa.int64()))})
 
     return ids.mapInArrow(scan, f"fp long, item_id {kind.simpleString()}, i_at int, short int, i_ctx array<long>")
 
@@ -112,25 +110,22 @@ def hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws, names, keys = [encode(t) for t in column(b, "text")], column(b, "doc_id"), column(b, "_key")
-            for lo, hi in chunks(raws):
-                w = Hashed(raws[lo:hi])
-                m = hi - lo
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(names[lo:hi], b.schema.field("doc_id").type), "_key": pa.array(keys[lo:hi], pa.int64()), "n_words": np.diff(w.first).astype(np.int64),
-                    "fp": pa.nulls(m, pa.int64()), "d_at": pa.nulls(m, pa.int32()), "d_ctx": pa.nulls(m, pa.list_(pa.int64())),
-                })
-                for fp, at, before, k in _prints(w, gram, window, lengths, False):
-                    slot = (fp.view(np.int64) % bits).astype(np.int64)
-                    ok = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    if ok.any():
-                        doc = w.doc[at[ok]] + lo
-                        d = _rows(w, names[lo:hi], fp[ok], at[ok], before, k, width)
-                        yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array(d["row"], b.schema.field("doc_id").type), "_key": pa.array([keys[x] for x in doc], pa.int64()), "n_words": pa.nulls(len(doc), pa.int64()),
-                            "fp": d["fp"], "d_at": d["at"], "d_ctx": pa.array(d["ctx"], pa.list_(pa.int64())),
-                        })
+        for b in portions(batches, "text"):
+            names, keys, w = column(b, "doc_id"), column(b, "_key"), Hashed([encode(t) for t in column(b, "text")])
+            m = b.num_rows
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column(b.schema.get_field_index("doc_id")), "_key": b.column(b.schema.get_field_index("_key")), "n_words": np.diff(w.first).astype(np.int64),
+                "fp": pa.nulls(m, pa.int64()), "d_at": pa.nulls(m, pa.int32()), "d_ctx": pa.nulls(m, pa.list_(pa.int64())),
+            })
+            for fp, at, before, k in _prints(w, gram, window, lengths, False):
+                slot = (fp.view(np.int64) % bits).astype(np.int64)
+                ok = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+                if ok.any():
+                    d = _rows(w, names, fp[ok], at[ok], before, k, width)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array(d["row"], b.schema.field("doc_id").type), "_key": pa.array([keys[x] for x in w.doc[at[ok]]], pa.int64()), "n_words": pa.nulls(len(d["row"]), pa.int64()),
+                        "fp": d["fp"], "d_at": d["at"], "d_ctx": pa.array(d["ctx"], pa.list_(pa.int64())),
+                    })
 
     both = materialise(base.mapInArrow(scan, f"doc_id {kind}, _key long, n_words long, fp long, d_at int, d_ctx array<long>"), "winnow")
     found = both.filter("fp is not null").drop("n_words").join(prints, "fp")

@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.text import column, encode, free_names, keyed, same_row
+from dataprobe.llm.text import column, encode, free_names, keyed, portions, same_row
 from dataprobe.scratch import materialise
 
 WORDS = 4
 CHARS = 16
+#: shared lines that are Python objects at once, some 600 bytes each
+SHARED = 20_000
 
 
 def _lines(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -44,7 +46,7 @@ def line_table(base: DataFrame, least: int = WORDS, whole: bool = False) -> Data
     (whether it is worth one). With ``whole`` also one for all n lines of the row, at place -n."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             rows, lines, places, anchors = [], [], [], []
             for r, text in enumerate(column(b, "text")):
                 own: dict[bytes, list[int]] = {}
@@ -165,7 +167,7 @@ def overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     kind = lines.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "shared", SHARED):
             found = [[{"first": x, "last": y} for x, y in blocks(sorted((s["line"], s["places"], s["_places"], s["anchor"]) for s in row))] for row in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["doc_id", "_key", "source", "source_key", "blocks"])
 
@@ -219,7 +221,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length
     at = docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, text):
             cols = list(b.columns[:-1])
             cols[at] = pa.array([t if g is None else _without(encode(t), g)[0].decode("utf-8", "surrogatepass") for t, g in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
@@ -252,7 +254,7 @@ def remove_overlaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             cut = [_without(encode(t), g) for t, g in zip(column(b, "text"), column(b, "gone"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64()), b.column(4), pa.array([x[0].decode("utf-8", "surrogatepass") for x in cut], pa.string())],

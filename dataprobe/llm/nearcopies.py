@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.llm.components import components
-from dataprobe.llm.text import Hashed, chunks, column, encode, free_names, keyed, mix, same_row
+from dataprobe.llm.text import CHUNK_BYTES, Hashed, column, encode, free_names, keyed, mix, portions, same_row
 from dataprobe.scratch import materialise
 
 SHINGLE = 5
@@ -193,21 +193,19 @@ def _nodes(base: DataFrame, shingle: int, sketches: int, kept: int, similarity:
     """doc_id, _key, node (hash of the word sequence), n_words and the sketches of every row, with the keys of short texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = [encode(t) for t in column(b, "text")]
-            for lo, hi in chunks(raws):
-                w = Hashed(raws[lo:hi])
-                h, doc = _items(w, shingle)
-                s = sketch(h, doc, hi - lo, sketches, kept)
-                n = np.diff(w.first)
-                node = w.spans(w.first[:-1], w.first[1:]).view(np.int64)
-                some = np.flatnonzero(n > 0)
-                key, of = _one_left_out(w, shingle, similarity)
-                of = np.concatenate([np.repeat(some, sketches), of])
-                by = np.argsort(of, kind="stable")
-                flat = pa.array(np.concatenate([s[some].ravel(), key])[by].view(np.int64))
-                offsets = pa.array(np.searchsorted(of[by], np.arange(len(n) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "_key", "node", "n_words", "sketches"])
+        for b in portions(batches, "text"):
+            w = Hashed([encode(t) for t in column(b, "text")])
+            h, doc = _items(w, shingle)
+            s = sketch(h, doc, b.num_rows, sketches, kept)
+            n = np.diff(w.first)
+            node = w.spans(w.first[:-1], w.first[1:]).view(np.int64)
+            some = np.flatnonzero(n > 0)
+            key, of = _one_left_out(w, shingle, similarity)
+            of = np.concatenate([np.repeat(some, sketches), of])
+            by = np.argsort(of, kind="stable")
+            flat = pa.array(np.concatenate([s[some].ravel(), key])[by].view(np.int64))
+            offsets = pa.array(np.searchsorted(of[by], np.arange(len(n) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "_key", "node", "n_words", "sketches"])
 
     return base.mapInArrow(scan, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, _key long, node long, n_words int, sketches array<long>")
 
@@ -216,12 +214,10 @@ def _sequences(texts: DataFrame) -> DataFrame:
     """node, words (hashes in order) of one text per node."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = [encode(t) for t in column(b, "text")]
-            for lo, hi in chunks(raws):
-                w = Hashed(raws[lo:hi])
-                short = (w.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(short))], ["node", "words"])
+        for b in portions(batches, "text"):
+            w = Hashed([encode(t) for t in column(b, "text")])
+            short = (w.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(short))], ["node", "words"])
 
     return texts.select("node", "text").mapInArrow(scan, "node long, words array<int>")
 
@@ -264,7 +260,7 @@ def _rare_items(sequences: DataFrame, shingle: int, similarity: float) -> DataFr
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "words", CHUNK_BYTES // 8):
             items = [_labelled(x.values.to_numpy().astype(np.int64), shingle) for x in b.column(1)]
             sizes = np.array([len(h) for h in items], np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *items]).view(np.int64)

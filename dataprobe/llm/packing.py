@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dataprobe.llm.text import chunks, column, encode
+from dataprobe.llm.text import column, encode, portions
 from dataprobe.scratch import materialise
 
 CAPACITY = 4096
 END = 1
-#: words whose ids a worker remembers
-CACHE_WORDS = 1_000_000
+#: words whose ids a worker remembers, some 150 bytes each
+CACHE_WORDS = 400_000
 
 _SPLIT = bytes(32 if c in (9, 10, 13) else c for c in range(256))
 _PLAIN = re.compile(rb"([a-z]+)([!-&(-/:-;=-@\[-`{}~]*)")
@@ -56,7 +56,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.begin = array("I"), array("q", [0])
+        self.flat, self.begin, self.again = array("I"), array("q", [0]), bytearray()
 
     def _model(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
@@ -74,12 +74,28 @@ class WordIds:
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.place) > CACHE_WORDS:
-            self.clear()
+            self._forget()
         for word in set(words):
-            if word not in self.place:
-                self.place[word] = len(self.begin) - 1
-                self.flat.extend(self._word(word))
-                self.begin.append(len(self.flat))
+            at = self.place.get(word)
+            if at is not None:
+                self.again[at] = 1
+            else:
+                self._remember(word, self._word(word))
+
+    def _remember(self, word: bytes, ids: list[int] | array) -> None:
+        self.place[word] = len(self.again)
+        self.flat.extend(ids)
+        self.begin.append(len(self.flat))
+        self.again.append(0)
+
+    def _forget(self) -> None:
+        """Only words that came again since the last time stay, unless these are most."""
+        place, flat, begin, again = self.place, self.flat, self.begin, self.again
+        self.clear()
+        if 2 * sum(again) <= CACHE_WORDS:
+            for word, at in place.items():
+                if again[at]:
+                    self._remember(word, flat[begin[at] : begin[at + 1]])
 
     def texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (one more entry than texts)."""
@@ -123,31 +139,29 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         coder = _word_ids(tokenizer)
-        for b in batches:
-            raws = [encode(t) for t in column(b, "text")]
-            for lo, hi in chunks(raws):
-                flat, first = coder.texts(raws[lo:hi])
-                rows, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
-                for i in range(hi - lo):
-                    own = np.append(flat[first[i] : first[i + 1]], np.uint32(end)).astype("<u4")
-                    for k, s in enumerate(range(0, len(own), capacity)):
-                        part = own[s : s + capacity]
-                        rows.append(lo + i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        rank.append(seen[len(part)])
-                        seen[len(part)] += 1
-                        if ids:
-                            kept.append(part.astype(np.int32))
-                cols = {
-                    "doc_id": b.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
-                    "ids_crc32": pa.array(crc, pa.int64()), "task": pa.array([task] * len(rows), pa.int32()), "rank": pa.array(rank, pa.int64()),
-                }
-                if ids:
-                    cols["ids"] = pa.array(kept, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(cols)
+        for b in portions(batches, "text"):
+            flat, first = coder.texts([encode(t) for t in column(b, "text")])
+            rows, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
+            for i in range(b.num_rows):
+                own = np.append(flat[first[i] : first[i + 1]], np.uint32(end)).astype("<u4")
+                for k, s in enumerate(range(0, len(own), capacity)):
+                    part = own[s : s + capacity]
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
+                    rank.append(seen[len(part)])
+                    seen[len(part)] += 1
+                    if ids:
+                        kept.append(part.astype(np.int32))
+            cols = {
+                "doc_id": b.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+                "ids_crc32": pa.array(crc, pa.int64()), "task": pa.array([task] * len(rows), pa.int32()), "rank": pa.array(rank, pa.int64()),
+            }
+            if ids:
+                cols["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(cols)
 
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<int>" * ids
     return base.mapInArrow(scan, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.text import column, encode, free_names, tokens, words
+from dataprobe.llm.text import column, encode, free_names, portions, tokens, words
 from dataprobe.scratch import materialise
 
 SAMPLE = 20_000
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "_go
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in portions(batches, text):
             x = np.array([features(t, m.low, m.toxic) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(m.good(x), 1e-6, 1 - 1e-6))], [*names, name])
 

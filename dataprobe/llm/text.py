@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000
+#: bytes of text that are worked on at once; hashing keeps some forty bytes of arrays for each
+CHUNK_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _SEED = 0x5851F42D4C957F2D
 GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -113,6 +115,20 @@ def chunks(raws: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield lo, len(raws)
 
 
+def portions(batches: Iterator[pa.RecordBatch], name: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in slices of at most ``limit`` bytes of texts (elements of lists) in column ``name``; a longer
+    one stands alone. Spark's batches go by rows, so Python objects and arrays of a whole batch would grow with its texts."""
+    for b in batches:
+        c = b.column(b.schema.get_field_index(name))
+        n = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
+        end = np.cumsum(pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        lo, before = 0, 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(end, before + limit, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo, before = hi, end[hi - 1]
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
