@@ -14,11 +14,11 @@ Each piece's rank within its length is its place in its task plus the count of t
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +33,20 @@ from dataprobe.scratch import materialise
 CAPACITY = 4096
 END = 1
 #: words whose ids a worker remembers
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
-_SPLIT = bytes(32 if c in (9, 10, 13) else c for c in range(256))
-_PLAIN = re.compile(rb"([a-z]+)([!-&(-/:-;=-@\[-`{}~]*)")
+#: lower-case letters that no normalisation changes
+_LETTERS = re.compile(f"[{''.join(c for c in map(chr, range(0x180)) if c.isalpha() and c.lower() == c)}]+")
+_PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-;=-@\[-`{}~]*)")
 
 
 class WordIds:
     """Token ids of white-space separated words, remembered per worker.
 
     The vocabulary's tokenizer drops white space before anything else, so a text's ids are its words' ids one
-    after the other. A word of ASCII letters with punctuation behind it (neither apostrophe nor digit) is the
-    letters' pieces, then the punctuation's; other words go through the whole tokenizer.
+    after the other. A word of letters with ASCII punctuation behind it (neither apostrophe nor digit) is the
+    letters' pieces, then the punctuation's; other words go through the whole tokenizer. Half of a corpus' different
+    words occur once, so a full memory keeps the words used most and forgets the rest.
     """
 
     def __init__(self, path: str):
@@ -57,38 +59,60 @@ class WordIds:
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat, self.begin = array("I"), array("q", [0])
+        self.uses = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Half of the words stay, those used most; older uses count half."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2])
+        words = list(self.place)  # in the order of their places
+        begin = np.frombuffer(self.begin, np.int64)
+        n = begin[keep + 1] - begin[keep]
+        out = np.cumsum(np.append(0, n))
+        pick = np.arange(out[-1]) - np.repeat(out[:-1] - begin[keep], n)
+        flat = np.frombuffer(self.flat, np.uint32)[pick]
+        self.place = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat, self.begin = array("I", flat.tobytes()), array("q", out.tobytes())
+        self.uses = self.uses[keep] // 2
 
     def _model(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
 
+    def _letters(self, stem: bytes) -> list[int] | None:
+        """The ids of letters, remembered ones if they are a word that was seen; None if the whole tokenizer must say them."""
+        if stem.isascii():
+            piece = stem.decode()
+        else:
+            if not _LETTERS.fullmatch(stem.decode("utf-8", "surrogatepass")):
+                return None
+            piece = stem.decode("latin-1").translate(_VISIBLE)
+        k = self.place.get(stem)
+        return self._model(piece) if k is None else self.flat[self.begin[k] : self.begin[k + 1]].tolist()
+
     def _word(self, word: bytes) -> list[int]:
         m = _PLAIN.fullmatch(word)
-        if m:
-            return self._model(m[1].decode()) + (self._model(m[2].decode()) if m[2] else [])
-        text = word.decode("utf-8", "surrogatepass")
-        stem = text.rstrip(".,")
-        if stem.isalpha() and max(map(ord, stem)) < 0x180 and stem.lower() == stem and unicodedata.is_normalized("NFC", stem):
-            tail = text[len(stem) :]
-            return self._model("".join(_VISIBLE[c] for c in stem.encode())) + (self._model(tail) if tail else [])
-        return self.whole.encode(text, add_special_tokens=False).ids
+        ids = self._letters(m[1]) if m else None
+        if ids is None:
+            return self.whole.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        return ids + self._model(m[2].decode()) if m[2] else ids
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.place) > CACHE_WORDS:
-            self.clear()
-        for word in set(words):
-            if word not in self.place:
-                self.place[word] = len(self.begin) - 1
-                self.flat.extend(self._word(word))
-                self.begin.append(len(self.flat))
+            self.trim()
+        for word in set(words).difference(self.place):
+            self.flat.extend(self._word(word))
+            self.place[word] = len(self.begin) - 1
+            self.begin.append(len(self.flat))
 
     def texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (one more entry than texts)."""
-        split = [(r if b"<|" in r else r.lower()).translate(_SPLIT).split(b" ") for r in raws]
-        words = [w for s in split for w in s if w]
+        split = [(r if b"<|" in r else r.lower()).split() for r in raws]
+        words = list(chain.from_iterable(split))
         self.learn(words)
-        count = np.cumsum([0, *(len(s) - s.count(b"") for s in split)])
-        place = self.place
-        at = np.fromiter((place[w] for w in words), np.int64, len(words))
+        count = np.cumsum([0, *map(len, split)])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        uses = np.bincount(at, minlength=len(self.place))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         begin = np.frombuffer(self.begin, np.int64)
         n = begin[at + 1] - begin[at]
         out = np.cumsum(np.append(0, n))

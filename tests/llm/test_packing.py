@@ -61,6 +61,34 @@ def test_words_as_the_whole_tokenizer(tokenizer):
     assert flat[first[3] :].tolist() == ids_of(tokenizer, "\n".join(WORDS[3:]))[:-1]
 
 
+TAILS = ["", ".", ",.", "***", "$$$", ")\"", "...!?", "<|", "%%%.", "#"]
+
+
+def test_words_with_any_punctuation_behind(tokenizer):
+    """Ids are put together from those of the letters, also of letters that were seen before."""
+    letters = [c for c in map(chr, range(0x80, 0x250)) if c.isalpha()]
+    stems = ["abc", "été", "naïve", "ǆx", "e\u0301t", "日本", "q\u3002", "k\xb4", "a\x0bb", "c\x0cd", "e\x1cf", "g\x85h", "i\xa0j", "ſ", "ŉ", "ª", *letters, *(f"x{c}y" for c in letters)]
+    coder = packing.WordIds(PATH)
+    for tails in (TAILS, TAILS[::-1]):
+        for tail in tails:
+            texts = [stem + tail for stem in stems]
+            flat, first = coder.texts([t.encode() for t in texts])
+            assert [flat[first[i] : first[i + 1]].tolist() for i in range(len(texts))] == [ids_of(tokenizer, t)[:-1] for t in texts]
+
+
+def test_a_full_memory_keeps_the_words_used_most(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    coder, kept = packing.WordIds(PATH), [f"often{chr(97 + i)}." for i in range(20)]
+    for turn in range(30):
+        new = [f"seldom{chr(97 + turn % 26)}{chr(97 + turn // 26)}{chr(97 + i)}" for i in range(25)]
+        text = " ".join([*kept, *new, *kept])
+        if turn > 5:
+            assert all(w.encode() in coder.place for w in kept)
+        flat, first = coder.texts([text.encode(), b"", new[3].encode()])
+        assert flat[: first[1]].tolist() == ids_of(tokenizer, text)[:-1] and flat[first[2] :].tolist() == ids_of(tokenizer, new[3])[:-1]
+        assert len(coder.place) == len(coder.begin) - 1 == len(coder.uses) <= 60 + 45 and coder.begin[-1] == len(coder.flat)
+
+
 def test_plan_covers_every_rank():
     rng = np.random.default_rng(0)
     for trial in range(60):
