@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from dataprobe.functions.formatting import title_text
 from dataprobe.functions.ladders import ladder
 from dataprobe.functions.numeric import as_double, half_even
-from dataprobe.operators import metrics
+from dataprobe.operators import forest, metrics
 from dataprobe.operators.aggregates import distinct_counts, value_counts_by_column
 from dataprobe.operators.ordering import ranked_within
 from dataprobe.operators.quantiles import median_row, quantile_row
@@ -260,11 +260,22 @@ class Fitted:
 
 def _score(model, rows: DataFrame) -> DataFrame:
     scored = model.transform(rows)
+    if isinstance(model, forest.Forest):
+        return scored
     if "probability" in scored.columns:
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     return scored.drop("rawPrediction", "probability", "features")
 
 
+def _cells(frame: DataFrame, used: list[str], trees: int, classes: int, seed: int) -> forest.Bins | None:
+    """The intervals of the features if a forest can be grown from cells: of many rows that fall into few."""
+    rows = frame.count()
+    if rows < forest.ROWS:
+        return None
+    bins = forest.find_bins(frame, used, rows, _max_bins(), seed)
+    return bins if forest.fits(bins, rows, trees, classes) else None
+
+
 def _max_bins(levels: int = 50) -> int:
     return max(32, levels + 1)
 
@@ -290,7 +301,12 @@ def risk_model(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
         maxBins=_max_bins(), seed=seed,
     )
-    model = rf.fit(forest_rows(rows, used).filter(~F.col("is_test")))
+    train = rows.filter(~F.col("is_test"))
+    bins = _cells(train, used, trees, 2, seed)
+    if bins:
+        model, _ = forest.fit(train, F.lit(False), bins, classes=2, trees=trees, depth=depth, seed=seed, least=2, both=False)
+    else:
+        model = rf.fit(forest_rows(rows, used).filter(~F.col("is_test")))
     return Fitted(model, used, _score(model, assemble(spread(rows), used).filter("is_test")))
 
 
@@ -328,20 +344,26 @@ def target_drivers(
     rows = materialise(df.filter(F.col(target).isNotNull()).select(target, *features, hashed), "drivers-input")
     classify = is_classification(rows, target)
     if classify:
-        y = class_codes(target, class_levels(rows, target))
+        levels = class_levels(rows, target)
+        y = class_codes(target, levels)
     else:
         y = F.coalesce(as_double(target), F.lit(0.0))
     frame, used = feature_frame(rows, features, [y if classify else y.alias("label"), "_h"])
     frame = materialise(frame, "drivers")
-    fitted, vec = forest_rows(frame, used), assemble(spread(frame), used)
     maker, subset = (RandomForestClassifier, "sqrt") if classify else (RandomForestRegressor, "all")
     rf = maker(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=_max_bins(),
         featureSubsetStrategy=subset,
     )
-    full = rf.fit(fitted)
     is_test = F.pmod("_h", F.lit(1000)) < int(test_share * 1000)
-    held = rf.fit(fitted.filter(~is_test))
+    classes = len(levels) if classify else 0
+    bins = _cells(frame, used, trees, classes, seed)
+    if bins:
+        full, held = forest.fit(frame, is_test, bins, classes=classes, trees=trees, depth=depth, seed=seed)
+    else:
+        fitted = forest_rows(frame, used)
+        full, held = rf.fit(fitted), rf.fit(fitted.filter(~is_test))
+    vec = assemble(spread(frame), used)
     fit = Fitted(full, used, _score(full, vec))
     direction = driver_direction(rows, y, features)
     impact = ladder(F.col("importance"), [(0.2, "High"), (0.08, "Medium")], "Moderate")
